@@ -1,2 +1,236 @@
-def found(points):
-    raise NotImplementedError
+"""Implausible readings of each source: additive outliers, stuck runs and physical limit violations.
+
+A source is one point_source_id of one file, in order of point_index. For each source and field a robust
+autoregression is fitted to a cleaned copy of the series; each reading is compared with what the readings before
+it and those after it predict. A reading that departs from both in the same direction is an additive outlier;
+one that departs from only one side is a level shift, which is ordinary. Outliers found are replaced by the
+prediction and the fit is repeated until none is new. Outliers in runs of more than three are an excursion of the
+source, no spike. Runs of equal readings and values outside the physical limits are found apart and take no
+part in the fit.
+
+Sources are worked on in stretches of STRETCH readings that overlap by HALO, at every size alike; a source of
+fewer readings is one stretch. So no source, however long, is gathered in one task, and its normal behaviour is
+that of the stretch. Null and NaN readings are skipped, rows without file, source or id belong to no source,
+repeated rows of one id count once. A source of fewer than MIN_READINGS is tested for limits and runs only.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+STRETCH = 50_000
+HALO = 128
+MIN_READINGS = 8
+SIDE = 5
+
+
+@dataclass(frozen=True)
+class Field:
+    """limit: usual scatters (with by_step: usual steps) beyond which a reading is an outlier.
+
+    floor: the least scatter; low, high: physical limits; longest: readings that an ordinary run may have.
+    """
+
+    name: str
+    limit: float
+    floor: float
+    low: float
+    high: float
+    by_step: bool = False
+    longest: int = 40
+
+
+FIELDS = (
+    Field("z", 9.0, 0.002, -500.0, 9000.0),
+    Field("intensity", 10.5, 1.0, 0.0, 65535.0),
+    Field("gps_time", 40.0, 1e-6, 0.0, 4e9, by_step=True),
+)
+
+
+def runs_of(v: np.ndarray) -> np.ndarray:
+    """The length of the run of equal readings that each reading is in."""
+    cut = np.flatnonzero(v[1:] != v[:-1]) + 1
+    lengths = np.diff(np.r_[0, cut, len(v)])
+    return np.repeat(lengths, lengths)
+
+
+def _around(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Medians of the SIDE readings before and after each reading; at an end that of the other side."""
+    n = len(v)
+    windows = np.lib.stride_tricks.sliding_window_view(v, SIDE)
+    med = np.partition(windows, SIDE // 2, axis=1)[:, SIDE // 2]
+    left, right = np.empty(n), np.empty(n)
+    left[SIDE:], right[: n - SIDE] = med[: n - SIDE], med[1:]
+    for i in range(SIDE):
+        left[i] = np.median(v[:i]) if i > 1 else np.nan
+        right[n - 1 - i] = np.median(v[n - i :]) if i > 1 else np.nan
+    return np.where(np.isnan(left), right, left), np.where(np.isnan(right), left, right)
+
+
+def _autoregression(c: np.ndarray) -> np.ndarray:
+    """Coefficients of two lags and a constant, by Huber's weights."""
+    y = c[2:]
+    x = np.empty((3, len(y)))
+    x[0], x[1], x[2] = c[1:-1], c[:-2], 1.0
+    w = np.ones(len(y))
+    beta = np.array([1.0, 0.0, 0.0])
+    ridge = np.diag([1e-9 * (x[0] @ x[0] + 1e-12)] * 2 + [0.0])
+    for _ in range(3):
+        xw = x * w
+        try:
+            beta = np.linalg.solve(xw @ x.T + ridge, xw @ y)
+        except np.linalg.LinAlgError:
+            return np.array([1.0, 0.0, 0.0])
+        r = np.abs(y - beta @ x)
+        s = 1.4826 * np.median(r)
+        if s <= 0:
+            break
+        w = np.minimum(1.0, 1.5 * s / np.maximum(r, 1e-300))
+    return beta
+
+
+def _predict(c: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the two readings before and the two after predict; NaN where they are missing."""
+    forth, back = np.full(len(c), np.nan), np.full(len(c), np.nan)
+    forth[2:] = beta[0] * c[1:-1] + beta[1] * c[:-2] + beta[2]
+    # A reversed autoregression has the same lags; its constant follows from the trend.
+    drift = beta[2] if abs(1 - beta[0] - beta[1]) > 0.05 else -beta[2]
+    back[:-2] = beta[0] * c[1:-1] + beta[1] * c[2:] + drift
+    return forth, back
+
+
+def outliers(v: np.ndarray, limit: float, floor: float, by_step: bool = False, rounds: int = 6) -> np.ndarray:
+    """Which readings are additive outliers, alone or in runs of up to three."""
+    n = len(v)
+    flagged = np.zeros(n, bool)
+    if n < MIN_READINGS:
+        return flagged
+    base = np.median(v)
+    v = v - base
+    step = 0.0
+    if by_step:
+        d = np.diff(v)
+        d = d[d > 0]
+        step = np.median(d) if len(d) else 0.0
+    left, right = _around(v)
+    apart = np.where((v - left) * (v - right) > 0, np.minimum(np.abs(v - left), np.abs(v - right)), 0.0)
+    middle = (left + right) / 2
+    scatter = max(1.4826 * np.median(np.abs(v - middle)), floor, step)
+    # The first cleaned copy: whatever stands off from both sides gives way to their middle.
+    c = np.where(apart > 5 * scatter, middle, v)
+    for _ in range(rounds):
+        beta = _autoregression(c)
+        forth, back = _predict(c, beta)
+        e = np.abs(c - forth)
+        scatter = max(1.4826 * np.nanmedian(e), floor, step)
+        f, b = v - forth, v - back
+        # At an end only one side predicts; there the local slope has to disagree as well.
+        end = np.isnan(f) | np.isnan(b)
+        f, b = np.where(np.isnan(f), b, f), np.where(np.isnan(b), f, b)
+        both = np.where(end, f * b > 0, (f * b > 0) & ((v - left) * (v - right) > 0))
+        least = np.minimum(np.abs(f), np.abs(b))
+        for i, line in ((0, c[1] - np.median(np.diff(c[1:7]))), (1, c[2] - np.median(np.diff(c[2:8]))), (n - 2, c[n - 3] + np.median(np.diff(c[-8:-2]))), (n - 1, c[n - 2] + np.median(np.diff(c[-7:-1])))):
+            least[i] = min(least[i], abs(v[i] - line))
+        stat = np.where(both, np.where(end, least, np.minimum(least, np.abs(v - middle))), 0.0)
+        # The scatter of what stands off from both sides by as many readings, for series that lags don't explain.
+        wide = max(scatter, 1.4826 * np.median(np.abs(v - middle)) if not by_step else step)
+        now = stat > limit * wide
+        new = np.where(now, np.where(np.isnan(forth) | np.isnan(back), middle, (forth + back) / 2), v)
+        c = np.where(now, new, np.where((apart > 5 * wide) & ~now, c, v))
+        if (now == flagged).all():
+            break
+        flagged = now
+    lengths = runs_of(flagged)
+    return flagged & (lengths <= 3)
+
+
+def implausible(v: np.ndarray, field: Field) -> np.ndarray:
+    """Which readings of a source (without nulls) are spikes, stuck or impossible."""
+    bad = (v < field.low) | (v > field.high) | (runs_of(v) > field.longest)
+    rest = ~bad
+    if rest.any():
+        bad[rest] = outliers(v[rest], field.limit, field.floor, field.by_step)
+    return bad
+
+
+def _worker(fields: tuple[Field, ...]):
+    names = [f.name for f in fields]
+
+    def groups(part: dict[str, np.ndarray], last: bool):
+        key = part["key"]
+        cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+        bounds = np.r_[0, cuts, len(key)]
+        done = len(bounds) - 1 if last else len(bounds) - 2
+        return [(bounds[i], bounds[i + 1]) for i in range(done)], bounds[done]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, np.ndarray] | None = None
+        for batch in _with_end(batches):
+            if batch is not None:
+                part = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(batch.schema.names)}
+                if kept is not None:
+                    part = {c: np.concatenate([kept[c], part[c]]) for c in part}
+            elif kept is not None:
+                part = kept
+            else:
+                return
+            ready, rest = groups(part, batch is None)
+            ids, which = [], []
+            for start, stop in ready:
+                own, pid = part["own"][start:stop], part["point_id"][start:stop]
+                for k, field in enumerate(fields):
+                    v = part[field.name][start:stop].astype("f8")
+                    ok = np.isfinite(v)
+                    if not ok.any():
+                        continue
+                    hit = np.flatnonzero(ok)[implausible(v[ok], field)]
+                    hit = hit[own[hit]]
+                    ids.append(pid[hit])
+                    which.append(np.full(len(hit), k, "i1"))
+            kept = {c: a[rest:] for c, a in part.items()}
+            if ids and sum(map(len, ids)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), pa.array(np.array(names, object)[np.concatenate(which)], pa.string())], ["point_id", "field"])
+
+    return work
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from (b for b in batches if b.num_rows)
+    yield None
+
+
+def found(points: DataFrame, fields: tuple[Field, ...] = FIELDS, stretch: int = STRETCH) -> DataFrame:
+    """(point_id, field) of all implausible readings."""
+    source = ["file_id", "point_source_id"]
+    p = points.select("point_id", *source, "point_index", *[F.col(f.name).cast("double").alias(f.name) for f in fields]).dropna(subset=["point_id", *source, "point_index"])
+    sizes = p.groupBy(*source).count()
+    long = sizes.where(F.col("count") > stretch).select(*source)
+    if long.isEmpty():
+        parted = p.withColumns({"stretch": F.lit(0), "own": F.lit(True)}).repartition(*source).dropDuplicates([*source, "point_id"])
+    else:
+        parted = _stretches(p, source, stretch)
+    keys = [*source, "stretch"]
+    parted = parted.withColumn("key", F.xxhash64(*keys)).sortWithinPartitions(*keys, "point_index", "point_id")
+    return parted.select("key", "own", "point_id", *[f.name for f in fields]).mapInArrow(_worker(fields), "point_id long, field string")
+
+
+def _stretches(p: DataFrame, source: list[str], stretch: int) -> DataFrame:
+    """Rows with their stretch, those near its ends also as context (own false) of the neighbouring stretch.
+
+    Places come from the rank within 65,536 consecutive point_index values plus the rows of earlier such blocks.
+    """
+    p = p.withColumn("block", F.floor(F.col("point_index") / 65536)).repartition(*source, "block").dropDuplicates([*source, "block", "point_id"])
+    n = p.groupBy(*source, "block").count()
+    before = n.withColumn("before", F.coalesce(F.sum("count").over(Window.partitionBy(*source).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
+    p = p.withColumn("rank", F.row_number().over(Window.partitionBy(*source, "block").orderBy("point_index", "point_id"))).join(before, [*source, "block"])
+    place = F.col("before") + F.col("rank") - 1
+    own = F.floor(place / stretch)
+    copies = F.array_distinct(F.array(own, F.greatest(F.floor((place - HALO) / stretch), F.lit(0)), F.floor((place + HALO) / stretch)))
+    p = p.withColumn("home", own).withColumn("stretch", F.explode(copies)).withColumn("own", F.col("stretch") == F.col("home"))
+    return p.drop("block", "before", "rank", "home").repartition(*source, "stretch")
