@@ -61,7 +61,7 @@ def runs_of(v: np.ndarray) -> np.ndarray:
 
 
 def _around(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Medians of the SIDE readings before and after each reading; at an end that of the other side."""
+    """Medians of the SIDE readings before and after each reading; at an end what the other side leads to."""
     n = len(v)
     windows = np.lib.stride_tricks.sliding_window_view(v, SIDE)
     med = np.partition(windows, SIDE // 2, axis=1)[:, SIDE // 2]
@@ -70,7 +70,10 @@ def _around(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for i in range(SIDE):
         left[i] = np.median(v[:i]) if i > 1 else np.nan
         right[n - 1 - i] = np.median(v[n - i :]) if i > 1 else np.nan
-    return np.where(np.isnan(left), right, left), np.where(np.isnan(right), left, right)
+    near = np.diff(v[: SIDE + 3]), np.diff(v[-SIDE - 3 :])
+    left[:2] = right[:2] = right[:2] - np.median(near[0]) * (SIDE + 1) / 2
+    left[-2:] = right[-2:] = left[-2:] + np.median(near[1]) * (SIDE + 1) / 2
+    return left, right
 
 
 def _autoregression(c: np.ndarray) -> np.ndarray:
@@ -135,9 +138,7 @@ def outliers(v: np.ndarray, limit: float, floor: float, by_step: bool = False, r
         f, b = np.where(np.isnan(f), b, f), np.where(np.isnan(b), f, b)
         both = np.where(end, f * b > 0, (f * b > 0) & ((v - left) * (v - right) > 0))
         least = np.minimum(np.abs(f), np.abs(b))
-        for i, line in ((0, c[1] - np.median(np.diff(c[1:7]))), (1, c[2] - np.median(np.diff(c[2:8]))), (n - 2, c[n - 3] + np.median(np.diff(c[-8:-2]))), (n - 1, c[n - 2] + np.median(np.diff(c[-7:-1])))):
-            least[i] = min(least[i], abs(v[i] - line))
-        stat = np.where(both, np.where(end, least, np.minimum(least, np.abs(v - middle))), 0.0)
+        stat = np.where(both, np.minimum(least, np.abs(v - middle)), 0.0)
         # The scatter of what stands off from both sides by as many readings, for series that lags don't explain.
         wide = max(scatter, 1.4826 * np.median(np.abs(v - middle)) if not by_step else step)
         now = stat > limit * wide
