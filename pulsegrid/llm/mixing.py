@@ -57,7 +57,10 @@ def plan_targets(plans: DataFrame, cells: DataFrame) -> DataFrame:
     return p.join(total, F.lit(True)).select("plan_id", "source", "share", "max_repeats", (F.col("size_ratio") * F.col("all_tokens")).alias("size"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
 
 
-def _rake(pdf: pd.DataFrame, rounds: int = 50) -> pd.DataFrame:
+ROUNDS = 50
+
+
+def _rake(pdf: pd.DataFrame) -> pd.DataFrame:
     """Fits one plan's cells; adds weight, the expected uses of a document of the cell."""
     have = pdf["tokens"].to_numpy(float)
     cap = pdf["max_repeats"].to_numpy(float)
@@ -80,7 +83,7 @@ def _rake(pdf: pd.DataFrame, rounds: int = 50) -> pd.DataFrame:
         total = corpus[c].sum()
         even = corpus[c] / total * size.sum() if total else corpus[c]
         wanted[c] = 0.5 * wanted[c] + 0.5 * even
-    for _ in range(rounds):
+    for _ in range(ROUNDS):
         old = w
         for c in ("lang", "topic"):
             now = np.bincount(code[c], w * have, len(wanted[c]))
