@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
 from . import bpe
 
 
@@ -58,6 +59,7 @@ def plan_targets(plans: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 ROUNDS = 50
+STARTS = 32
 
 
 def _rake(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -123,7 +125,8 @@ def draw(tokens: DataFrame, calibrated: DataFrame) -> DataFrame:
     """(plan_id, doc_id, source, tokens, copies) of the documents that each plan uses.
 
     Copies of a document are the whole numbers that the running sum of weights passes, in order of size within
-    plan and source; sums run in small parts to which those of earlier parts are added.
+    plan and source; sums run in small parts to which those of earlier parts are added. Of STARTS first values of
+    the sum the one is taken whose drawn size comes nearest to the target.
     """
     weights = calibrated.where("weight > 0").select("plan_id", "source", "lang", "topic", "weight")
     d = tokens.where("tokens > 0 and doc_id is not null").join(weights, ["source", "lang", "topic"])
@@ -132,9 +135,12 @@ def draw(tokens: DataFrame, calibrated: DataFrame) -> DataFrame:
     before = d.groupBy(*group, "part").agg(F.sum("weight").alias("s"))
     before = before.select(*group, "part", F.coalesce(F.sum("s").over(Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
     d = d.withColumn("upto", F.sum("weight").over(Window.partitionBy(*group, "part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))).join(before, [*group, "part"])
-    start = F.pmod(F.xxhash64(*group), F.lit(1000)) / 1000.0
-    copies = F.floor(F.col("before") + F.col("upto") + start) - F.floor(F.col("before") + F.col("upto") - F.col("weight") + start)
-    return d.withColumn("copies", copies.cast("int")).where("copies > 0").select("plan_id", "doc_id", "source", "tokens", "copies")
+    d = checkpoint(d.withColumn("upto", F.col("before") + F.col("upto")).select("plan_id", "doc_id", "source", "tokens", "weight", "upto"))
+    passed = lambda start: F.floor(F.col("upto") + start) - F.floor(F.col("upto") - F.col("weight") + start)
+    tried = d.groupBy(*group).agg(*[F.sum(passed(F.lit(i / STARTS)) * F.col("tokens")).alias(f"s{i}") for i in range(STARTS)], F.sum(F.col("weight") * F.col("tokens")).alias("wanted"))
+    best = tried.select(*group, F.array_min(F.array(*[F.struct(F.abs(F.col(f"s{i}") - F.col("wanted")).alias("off"), F.lit(i / STARTS).alias("start")) for i in range(STARTS)]))["start"].alias("start"))
+    d = d.join(best, group).withColumn("copies", passed(F.col("start")).cast("int"))
+    return d.where("copies > 0").select("plan_id", "doc_id", "source", "tokens", "copies")
 
 
 def report(drawn: DataFrame, calibrated: DataFrame) -> DataFrame:
