@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint, read
-from . import bpe, mixing, quantiles
+from ..session import checkpoint, millimetres, read
+from . import bpe, mixing, neighbours, quantiles
 
 
 P1_KEYS = ["grouping", "classification", "load_id", "point_source_id", "column_name"]
@@ -59,6 +59,15 @@ union all select 'point_source', classification, null, point_source_id, column_n
 """
 
 
+def _key_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "lasdata").where("classification = 8")
+    return p.select(F.col("point_id").alias("id"), F.array(*[millimetres(c).cast("double") for c in "xyz"]).alias("vec"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.pairs(neighbours.nearest(_key_points(spark, sf_dir), 4))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"))
 
@@ -84,8 +93,17 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_percentiles, p1_counts, p7_ids, p8_found, p8_mix, p8_report)}
+    return {f.__name__: f for f in (p1_percentiles, p1_counts, p5_found, p7_ids, p8_found, p8_mix, p8_report)}
+
+
+P5_SQL = """
+with p as (select point_id as id, round(any_value(x)*1000) as x, round(any_value(y)*1000) as y, round(any_value(z)*1000) as z from lasdata
+           where classification = 8 and point_id is not null and not isnan(x) and not isnan(y) and not isnan(z) group by point_id),
+r as (select a.id, b.id as other, row_number() over (partition by a.id order by (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z), b.id) as k
+      from p a join p b on a.id <> b.id)
+select distinct least(id, other) as id_a, greatest(id, other) as id_b from r where k <= 4
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_counts": P1_COUNTS_SQL}
+    return {"p1_counts": P1_COUNTS_SQL, "p5_found": P5_SQL}
