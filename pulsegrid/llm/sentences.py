@@ -38,6 +38,7 @@ NEVER_LAST = frozenset(
     "см рис табл т напр стр гл им βλ σελ π.χ περ κ αρ ص د أ डॉ श्री मि मि.से пр ej ex env art cap chap réf rev gen lt col capt rep sen gov bd hg vgl nº n° ver".split()
 )
 MAY_END = frozenset("etc usw al a.m p.m am pm co inc ltd corp jan feb mar apr jun jul aug sep sept oct nov dec min max hr hrs с г др т.д т.п κ.λπ".split())
+ORDINAL_AFTER = frozenset("am der die das dem den des vom zum zur ab bis im beim seit dieser diese jeder jedes".split())
 
 SPACELESS = r"฀-໿က-႟ក-៿⺀-⿟々-〇぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ"
 TOKEN = regex.compile(
@@ -158,7 +159,7 @@ def class_of(word: str) -> str:
     c = _CLASSES.get(word)
     if c is None:
         if NUMBER.fullmatch(word):
-            c = "<n>"
+            c = "<n>" if len(word) > 2 else "<d>"
         elif VERSION.fullmatch(word):
             c = "<v>"
         elif HEX.fullmatch(word):
@@ -285,6 +286,8 @@ def _guess(tokens: list, i: int, stop: int, wide: bool, space: bool) -> float:
         return 0.6 if not first[0].isdigit() else 0.2
     if len(word) == 1 and word.isalpha():
         return 0.2
+    if len(word) < 3 and word.isdigit() and stop > 1 and tokens[stop - 2][2].lower() in ORDINAL_AFTER:
+        return 0.03
     return 0.6 if tokens[k][3] == "word" and first[0].isdigit() else 0.97
 
 
@@ -324,21 +327,28 @@ class Model:
         return np.log(np.where(h1 == START_CODE, p2, p3))
 
 
-def count_slots(w: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """Slots of all counts of a stream of word codes; e: a sentence ends after the word. The stream begins one."""
+def count_slots(w: np.ndarray, e: np.ndarray, unsure: np.ndarray) -> np.ndarray:
+    """Slots of all counts of a stream of word codes; e: a sentence ends after the word. The stream begins one.
+
+    Where it is unsure whether one ends, nothing is counted that reaches across.
+    """
     n = len(w)
     if not n:
         return np.empty((2, 0), np.int64)
+    broken = np.r_[False, unsure[:-1]]  # the first word after an unsure place
+    e = e | unsure
     begins = np.r_[True, e[:-1]]
+    second = np.r_[False, broken[:-1]]
     s = np.full(n, START_CODE, np.int64)
     prev = np.where(begins, s, np.r_[START_CODE, w[:-1]])
     prev2 = np.where(begins, s, np.where(np.r_[True, begins[:-1]], s, np.r_[START_CODE, START_CODE, w[:-2]][:n]))
-    inner = ~begins
-    ends = np.flatnonzero(e)
+    inner = ~begins & ~second
+    ends = np.flatnonzero(e & ~unsure)
+    known = ~broken
     es = np.full(len(ends), START_CODE, np.int64)
     return np.concatenate(
         [
-            _slot(0, w), _slot(0, es), _slot(1, prev, w), _slot(2, prev), _slot(1, w[ends], es), _slot(2, w[ends]),
+            _slot(0, w), _slot(0, es), _slot(1, prev[known], w[known]), _slot(2, prev[known]), _slot(1, w[ends], es), _slot(2, w[ends]),
             _slot(3, prev2[inner], prev[inner], w[inner]), _slot(4, prev2[inner], prev[inner]),
             _slot(3, prev[ends], w[ends], es), _slot(4, prev[ends], w[ends]),
         ],
@@ -380,8 +390,11 @@ class Batch:
         e[self.gap[marks]] = True
         return e
 
-    def slots(self, marks: np.ndarray) -> np.ndarray:
-        return count_slots(self.w, self.ends(marks))
+    def slots(self, chance: np.ndarray) -> np.ndarray:
+        """Slots of the counts, for the chances that sentences end at the gaps."""
+        unsure = np.zeros(len(self.w), bool)
+        unsure[self.gap[(chance > 0.1) & (chance < 0.9)]] = True
+        return count_slots(self.w, self.ends(chance >= 0.9), unsure)
 
     def posteriors(self, model: Model) -> np.ndarray:
         """P(a sentence ends) at each gap, by forward-backward over neighbouring gaps."""
@@ -455,10 +468,8 @@ def _messages(docs: DataFrame, ident: str, text: str) -> DataFrame:
     return docs.select(ident, message.alias("text"))
 
 
-def _decide(batch: Batch, model: Model | None) -> np.ndarray:
-    if model is None:
-        return np.array(batch.gap_guess) > 0.5
-    return batch.posteriors(model) > 0.5
+def _chances(batch: Batch, model: Model | None) -> np.ndarray:
+    return np.array(batch.gap_guess) if model is None else batch.posteriors(model)
 
 
 def _model_of(packed: bytes | None) -> Model | None:
@@ -482,9 +493,9 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> bytes:
                 texts = big.column(1).to_pylist()
                 for at in range(0, len(texts), SPLIT):
                     b = Batch(texts[at : at + SPLIT])
-                    marks = _decide(b, model)
-                    held[:TABLE] += np.bincount(b.slots(marks).ravel(), minlength=TABLE)
-                    held[TABLE] += len(b.w) + int(b.ends(marks).sum())
+                    chance = _chances(b, model)
+                    held[:TABLE] += np.bincount(b.slots(chance).ravel(), minlength=TABLE)
+                    held[TABLE] += len(b.w) + int(b.ends(chance >= 0.9).sum())
             used = np.flatnonzero(held)
             for at in range(0, len(used), 100_000):
                 part = used[at : at + 100_000]
@@ -508,7 +519,7 @@ def split(docs: DataFrame, model: bytes, ident: str = "doc_id", text: str = "tex
             texts = big.column(1).to_pylist()
             for at in range(0, len(texts), SPLIT):
                 b = Batch(texts[at : at + SPLIT])
-                row, start, end = b.units(_decide(b, m))
+                row, start, end = b.units(_chances(b, m) > 0.5)
                 yield pa.RecordBatch.from_arrays([big.column(0).take(pa.array(row + at)), pa.array(start, pa.int32()), pa.array(end, pa.int32())], [ident, "start_char", "end_char"])
 
     kind = docs.schema[ident].dataType.simpleString()
