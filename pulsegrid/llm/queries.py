@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint, millimetres, read
-from . import bpe, mixing, neighbours, quantiles
+from . import bpe, mixing, neighbours, quantiles, sentences
 
 
 P1_KEYS = ["grouping", "classification", "load_id", "point_source_id", "column_name"]
@@ -92,8 +92,12 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(mixing.draw(tokens, calibrated), calibrated)
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.found(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_percentiles, p1_counts, p5_found, p7_ids, p8_found, p8_mix, p8_report)}
+    return {f.__name__: f for f in (p1_percentiles, p1_counts, p5_found, p7_ids, p8_found, p8_mix, p8_report, p9_found)}
 
 
 P5_SQL = """

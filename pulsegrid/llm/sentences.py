@@ -215,7 +215,7 @@ def read_block(text: str, start: int, end: int) -> tuple[list[tuple[int, int]],
     for i in range(n - 1):
         a, b, raw, kind = tokens[i]
         if kind in ("mark", "dots"):
-            if raw[0] in STOPS or (raw == ";" and i and GREEK.search(tokens[i - 1][2])):
+            if raw[0] in STOPS or (raw == ";" and any(GREEK.match(t[2]) for t in tokens[max(0, i - 6) : i])):
                 stop = i
             elif not (stop >= 0 and (raw in CLOSERS or raw == "“" and depth[i] < depth[i - 1])):
                 stop = -1
