@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import checkpoint, fitting
 from . import bpe
 
 
@@ -60,6 +60,9 @@ def plan_targets(plans: DataFrame, cells: DataFrame) -> DataFrame:
 
 ROUNDS = 50
 STARTS = 32
+LARGE = 0.01
+#: Rows up to which tables of categories are sent to all tasks.
+GROUPS = 100_000
 
 
 def _rake(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -121,28 +124,47 @@ def found(calibrated: DataFrame) -> DataFrame:
     return calibrated.where("short").select("plan_id", "source").distinct()
 
 
-def draw(tokens: DataFrame, calibrated: DataFrame) -> DataFrame:
-    """(plan_id, doc_id, source, tokens, copies) of the documents that each plan uses.
+def _systematic(d: DataFrame) -> DataFrame:
+    """plan_id, doc_id, source, tokens and copies: the whole numbers that the running sum of weights passes.
 
-    Copies of a document are the whole numbers that the running sum of weights passes, in order of size within
-    plan and source; sums run in small parts to which those of earlier parts are added. Of STARTS first values of
-    the sum the one is taken whose drawn size comes nearest to the target.
+    Documents come in order of size within plan and source; sums run in small parts to which those of earlier
+    parts are added. Of STARTS first values of the sum the one is taken whose size comes nearest to the wanted.
     """
-    weights = calibrated.where("weight > 0").select("plan_id", "source", "lang", "topic", "weight")
-    d = tokens.where("tokens > 0 and doc_id is not null").join(weights, ["source", "lang", "topic"])
-    d = d.withColumn("part", F.floor(F.log2("tokens") * 4).cast("int") * 64 + F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int"))
     group = ["plan_id", "source"]
+    d = d.withColumn("part", F.floor(F.log2("tokens") * 4).cast("int") * 64 + F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int"))
     before = d.groupBy(*group, "part").agg(F.sum("weight").alias("s"))
     before = before.select(*group, "part", F.coalesce(F.sum("s").over(Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
     d = d.withColumn("upto", F.sum("weight").over(Window.partitionBy(*group, "part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))).join(before, [*group, "part"])
     d = checkpoint(d.withColumn("upto", F.col("before") + F.col("upto")).select("plan_id", "doc_id", "source", "tokens", "weight", "upto"))
-    passed = lambda start: F.floor(F.col("upto") + start) - F.floor(F.col("upto") - F.col("weight") + start)
+    floor = lambda v: F.floor(F.round(v, 6))  # noqa: E731  # sums of doubles may lie just below a whole number
+    passed = lambda start: floor(F.col("upto") + start) - floor(F.col("upto") - F.col("weight") + start)
     tried = d.groupBy(*group).agg(*[F.sum(passed(F.lit(i / STARTS)) * F.col("tokens")).alias(f"s{i}") for i in range(STARTS)], F.sum(F.col("weight") * F.col("tokens")).alias("wanted"))
     best = tried.select(*group, F.array_min(F.array(*[F.struct(F.abs(F.col(f"s{i}") - F.col("wanted")).alias("off"), F.lit(i / STARTS).alias("start")) for i in range(STARTS)]))["start"].alias("start"))
-    d = d.join(best, group).withColumn("copies", passed(F.col("start")).cast("int"))
+    d = d.join(fitting(best, GROUPS), group).withColumn("copies", passed(F.col("start")).cast("int"))
     return d.where("copies > 0").select("plan_id", "doc_id", "source", "tokens", "copies")
 
 
+def draw(tokens: DataFrame, calibrated: DataFrame) -> DataFrame:
+    """(plan_id, doc_id, source, tokens, copies) of the documents that each plan uses.
+
+    Documents that hold more than LARGE of their source's target are drawn first; the weights of all others are
+    then scaled to what is left of the target, up to max_repeats.
+    """
+    weights = calibrated.where("weight > 0").select("plan_id", "source", "lang", "topic", "weight", "max_repeats")
+    d = tokens.where("tokens > 0 and doc_id is not null").join(fitting(weights, GROUPS), ["source", "lang", "topic"])
+    group = ["plan_id", "source"]
+    target = calibrated.where("weight > 0").groupBy(*group).agg(F.sum(F.col("weight") * F.col("tokens")).alias("target"))
+    d = d.join(fitting(target, GROUPS), group).select("plan_id", "doc_id", "source", "tokens", "weight", "max_repeats", "target")
+    large = F.col("tokens") > LARGE * F.col("target")
+    first = checkpoint(_systematic(d.where(large)))
+    rest = d.where(~large)
+    used = first.groupBy(*group).agg(F.sum(F.col("tokens") * F.col("copies")).alias("used"))
+    hoped = rest.groupBy(*group).agg(F.sum(F.col("weight") * F.col("tokens")).alias("hoped"))
+    factor = target.join(used, group, "left").join(hoped, group).select(*group, (F.greatest(F.col("target") - F.coalesce("used", F.lit(0)), F.lit(0.0)) / F.col("hoped")).alias("factor"))
+    rest = rest.join(fitting(factor, GROUPS), group).withColumn("weight", F.least(F.col("weight") * F.col("factor"), F.col("max_repeats").cast("double"))).where("weight > 0")
+    return first.unionByName(_systematic(rest))
+
+
 def report(drawn: DataFrame, calibrated: DataFrame) -> DataFrame:
     """(plan_id, source, target_share, actual_share, target_tokens, actual_tokens, short) of each plan's sources."""
     want = calibrated.groupBy("plan_id", "source").agg(F.max("share").alias("target_share"), (F.max("share") * F.max("size")).alias("target_tokens"), F.max("short").alias("short"))

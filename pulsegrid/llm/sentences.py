@@ -283,7 +283,7 @@ def _guess(tokens: list, i: int, stop: int, wide: bool, space: bool) -> float:
     if word in NEVER_LAST:
         return 0.02
     if word in MAY_END:
-        return 0.6 if not first[0].isdigit() else 0.2
+        return 0.85 if not first[0].isdigit() else 0.2
     if len(word) == 1 and word.isalpha():
         return 0.2
     if len(word) < 3 and word.isdigit() and stop > 1 and tokens[stop - 2][2].lower() in ORDINAL_AFTER:
