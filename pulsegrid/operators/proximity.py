@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import fitting, millimetres, small
+from ..session import checkpoint, fitting, millimetres
 
 #: Points of one cell that one task may meet with as many others.
 HOT_CELL = 20_000
@@ -41,7 +41,9 @@ def _hot_cells(p: DataFrame, size: int, limit: int) -> DataFrame | None:
 
     First whole tiles of 64 x 64 cells are counted, which are few, then the cells of the heavy tiles only.
     """
-    tiles = p.groupBy(_cell(F.col("x"), size * 64).alias("tx"), _cell(F.col("y"), size * 64).alias("ty")).count().where(F.col("count") > limit)
+    tiles = checkpoint(p.groupBy(_cell(F.col("x"), size * 64).alias("tx"), _cell(F.col("y"), size * 64).alias("ty")).count().where(F.col("count") > limit))
+    if tiles.isEmpty():
+        return None
     cells = (
         p.withColumns({"tx": _cell(F.col("x"), size * 64), "ty": _cell(F.col("y"), size * 64)})
         .join(fitting(tiles.select("tx", "ty"), BROADCAST_ROWS), ["tx", "ty"], "left_semi")
@@ -100,7 +102,7 @@ def polygon_edges(polygons: DataFrame, poly: str = "poly_id", seq: str = "seq",
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, ident: str = "point_id", x: str = "x", y: str = "y", band: int = 1000) -> DataFrame:
     """(poly_id, id): the points about which a polygon winds, by the winding number with half-open edges."""
-    edges = polygon_edges(polygons)
+    edges = checkpoint(polygon_edges(polygons))  # read by four jobs
     boxes = edges.groupBy("poly_id").agg(F.min("x1").alias("x0"), F.max("x1").alias("x9"), F.min("y1").alias("y0"), F.max("y1").alias("y9"))
     # Level k has cells of 2**k mm; a box meets at most two cells in either direction.
     level = F.greatest(F.lit(10), F.ceil(F.log2(F.greatest(F.col("x9") - F.col("x0"), F.col("y9") - F.col("y0"), F.lit(1)))).cast("int"))
