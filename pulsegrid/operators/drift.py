@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import checkpoint
 from ..sources.formats import EXTRA_TYPES, POINT_FIELDS, extra_bytes_size, fields_of
 
 DESCRIPTOR = 192
@@ -74,29 +75,33 @@ def file_fields(files: DataFrame, described: DataFrame) -> DataFrame:
     return own.unionByName(declared)
 
 
-def _starts_and_ends(fields: DataFrame) -> DataFrame:
-    """(series, ord, name, type, description, starts): ord is the file in which the island starts or is gone."""
+def _starts_and_ends(fields: DataFrame, edges: bool = False) -> DataFrame:
+    """(series, ord, name, type, description, starts): ord is the file in which the island starts or is gone.
+
+    edges: starts at a series' first file and ends after its last count as well.
+    """
     keep = fields.withColumn("part", F.floor(F.col("ord") / BLOCK))
     # The last file of a block is also the first of the next one; it is judged there, except for its start.
     both = keep.withColumn("copy", F.explode(F.when((F.col("ord") + 1) % BLOCK == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     both = both.withColumn("part", F.col("part") + F.col("copy"))
     w = Window.partitionBy("series", "name", "type", "part").orderBy("ord")
     both = both.withColumns({"prev": F.lag("ord").over(w), "next": F.lead("ord").over(w)})
-    start = (F.col("copy") == 0) & (F.col("ord") > 1) & F.coalesce(F.col("prev") != F.col("ord") - 1, F.lit(True))
+    start = (F.col("copy") == 0) & (F.lit(edges) | (F.col("ord") > 1)) & F.coalesce(F.col("prev") != F.col("ord") - 1, F.lit(True))
     split = ((F.col("ord") + 1) % BLOCK == 0) & (F.col("copy") == 0)
-    end = ~split & ~F.col("is_last") & F.coalesce(F.col("next") != F.col("ord") + 1, F.lit(True))
+    end = ~split & (F.lit(edges) | ~F.col("is_last")) & F.coalesce(F.col("next") != F.col("ord") + 1, F.lit(True))
     events = F.array_compact(F.array(F.when(start, F.struct(F.col("ord").alias("at"), F.lit(True).alias("starts"))), F.when(end, F.struct((F.col("ord") + 1).alias("at"), F.lit(False).alias("starts")))))
     return both.select("series", "name", "type", "description", F.explode(events).alias("e")).select("series", F.col("e.at").alias("ord"), "name", "type", "description", "e.starts")
 
 
 def changes(header: DataFrame, vlr: DataFrame) -> DataFrame:
     """(file_id, field, change_kind): added, removed, renamed and retyped against the file before in the series."""
-    files = numbered_files(header)
+    files = checkpoint(numbered_files(header))
     ev = _starts_and_ends(file_fields(files, descriptors(vlr)))
     # A field whose type changes ends and starts at one file, under one name; one row for each field remains.
     per = ev.groupBy("series", "ord", "name").agg(
         F.max(F.when(F.col("starts"), F.struct("type", "description"))).alias("new"), F.max(F.when(~F.col("starts"), F.struct("type", "description"))).alias("old")
     )
+    per = checkpoint(per)  # a few rows for each change, read by five joins
     same = per.where("new is not null and old is not null").select("series", "ord", F.col("name").alias("field"), F.lit("retyped").alias("change_kind"))
     new = per.where("old is null").select("series", "ord", "name", F.col("new.type").alias("type"), F.col("new.description").alias("description"))
     gone = per.where("new is null").select("series", "ord", F.col("name").alias("old_name"), F.col("old.type").alias("old_type"), F.col("old.description").alias("description"))
@@ -123,12 +128,16 @@ def mismatches(header: DataFrame, vlr: DataFrame, points: DataFrame) -> DataFram
 
 def lifespans(header: DataFrame, vlr: DataFrame) -> DataFrame:
     """(series, field, type, first_ord, last_ord, first_file, last_file, files): each island of consecutive files."""
-    fields = file_fields(numbered_files(header), descriptors(vlr))
-    w = Window.partitionBy("series", "name", "type").orderBy("ord")
-    runs = fields.withColumn("run", F.col("ord") - F.row_number().over(w))
-    return runs.groupBy("series", F.col("name").alias("field"), "type", "run").agg(
-        F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"), F.min_by("file_id", "ord").alias("first_file"), F.max_by("file_id", "ord").alias("last_file"), F.count(F.lit(1)).alias("files")
-    ).drop("run")
+    files = checkpoint(numbered_files(header))
+    ev = _starts_and_ends(file_fields(files, descriptors(vlr)), edges=True)
+    # Starts and ends of one field and type take turns, so the next event after a start is its end.
+    w = Window.partitionBy("series", "name", "type").orderBy("ord", "starts")
+    runs = ev.withColumn("gone", F.lead("ord").over(w)).where("starts").select("series", F.col("name").alias("field"), "type", F.col("ord").alias("first_ord"), (F.col("gone") - 1).alias("last_ord"))
+    at = lambda k: files.select(F.col("series").alias("s"), F.col("ord").alias("o"), F.col("file_id").alias(f"{k}_file"))
+    for k in ("first", "last"):
+        f = at(k)
+        runs = runs.join(f, [runs["series"].eqNullSafe(f["s"]), runs[f"{k}_ord"] == f["o"]]).drop("s", "o")
+    return runs.select("series", "field", "type", "first_ord", "last_ord", "first_file", "last_file", (F.col("last_ord") - F.col("first_ord") + 1).alias("files"))
 
 
 def aliases(vlr: DataFrame) -> DataFrame:

@@ -63,7 +63,9 @@ def test_empty(spark):
     assert D.found(h, v, p).count() == 0 and D.lifespans(h, v).count() == 0 and D.unified_points(p, v).count() == 0
 
 
-def test_lifespans(spark):
+@pytest.mark.parametrize("block", [4096, 2])
+def test_lifespans(spark, monkeypatch, block):
+    monkeypatch.setattr(D, "BLOCK", block)
     h, v, _ = tables(spark)
     got = {(r.field, r.type): (r.first_file, r.last_file, r.files) for r in D.lifespans(h, v).where("series = 7").collect()}
     assert got["a_b", "float32"] == (1, 1, 1) and got["hgt", "float64"] == (3, 3, 1) and got["m", "uint8"] == (3, 4, 2) and got["scan_angle", "int16"] == (3, 7, 4)
