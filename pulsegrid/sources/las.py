@@ -21,6 +21,7 @@ import shutil
 import uuid
 import warnings
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -62,6 +63,12 @@ def checked(path: str) -> tuple[dict, bool]:
     return h, any(f.effect == "degrade" for f in findings)
 
 
+def all_checked(paths: list[str]) -> list[tuple[dict, bool]]:
+    """checked() of many files at once; opening files is mostly waiting."""
+    with ThreadPoolExecutor(32) as pool:
+        return list(pool.map(checked, paths))
+
+
 @dataclass
 class Slice(InputPartition):
     path: str
@@ -114,8 +121,8 @@ class PointReader(DataSourceReader):
     def partitions(self) -> list[Slice]:
         split = int(self.options.get("split_bytes", 64 * 2**20))
         out = []
-        for path in files_of(self.options["path"]):
-            h, degraded = checked(path)
+        paths = files_of(self.options["path"])
+        for path, (h, degraded) in zip(paths, all_checked(paths)):
             if self._outside(h):
                 continue
             n, step = int(h["number_of_point_records"]), max(1, split // h["point_data_record_length"])
@@ -368,8 +375,7 @@ class LasDataSource(DataSource):
         wanted = [c.strip() for c in self.options["columns"].split(",")] if self.options.get("columns") else None
         paths = files_of(self.options["path"])
         seen: dict[tuple[int, int], None] = {}
-        for path in paths:
-            h, degraded = checked(path)
+        for h, degraded in all_checked(paths):
             seen[(99 if degraded else h["point_data_format"], h["point_data_record_length"])] = None
         fields: dict[str, T.StructField] = {}
         for pdrf, length in seen:
