@@ -32,6 +32,8 @@ SECTIONS = 3
 FRACTIONS = (0.001, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999)
 #: Readings of one task that are sketched at once.
 CHUNK = 400_000
+#: Items that the sketches of one task may hold together.
+HELD = 4_000_000
 
 
 def relative_error(section: int = SECTION) -> float:
@@ -129,6 +131,9 @@ class TwoEnded:
     def __init__(self, section: int = SECTION):
         self.high, self.low = Sketch(section), None
 
+    def items(self) -> int:
+        return sum(map(len, self.high.levels)) + (sum(map(len, self.low.levels)) if self.low is not None else 0)
+
     def _split(self) -> None:
         if self.low is None:
             self.low = Sketch(self.high.section)
@@ -180,43 +185,53 @@ class TwoEnded:
 
 
 def _sketch_partition(section: int, keys: int):
-    """Sketches each group of a task's rows: key columns as one string, then the column name and the reading."""
+    """Sketches each group of a task's rows: key columns, then the hash of the keys and the reading.
+
+    Sketches are held from chunk to chunk, so a task gives one for each group unless they take over HELD items.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        waiting: list[pa.RecordBatch] = []
         rows = 0
+        held: dict[int, TwoEnded] = {}
+        heads: list[pa.RecordBatch] = []  # the keys of the groups held, in the order of held
 
-        def flush() -> pa.RecordBatch | None:
-            table = pa.Table.from_batches(held).combine_chunks()
-            if not table.num_rows:
-                return None
-            value = table.column("value").to_numpy()
-            group = table.column("grp").to_numpy()
+        def absorb() -> None:
+            table = pa.Table.from_batches(waiting).combine_chunks()
+            value, group = table.column("value").to_numpy(), table.column("grp").to_numpy()
             order = np.lexsort((value, group))
             group, value = group[order], value[order]
-            cuts = np.flatnonzero(group[1:] != group[:-1]) + 1
-            starts = np.r_[0, cuts]
-            blobs = []
-            for a, b in zip(starts, np.r_[cuts, len(group)]):
-                s = TwoEnded(section)
+            starts = np.r_[0, np.flatnonzero(group[1:] != group[:-1]) + 1]
+            fresh = []
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(group)]):
+                s = held.get(group[a])
+                if s is None:
+                    s = held[group[a]] = TwoEnded(section)
+                    fresh.append(order[a])
                 s.add(value[a:b])
-                blobs.append(s.to_bytes())
-            first = pa.array(order[starts])
-            cols = [table.column(i).combine_chunks().take(first) for i in range(keys)]
-            return pa.RecordBatch.from_arrays([*cols, table.column("grp").combine_chunks().take(first), pa.array(blobs, pa.binary())], [*table.schema.names[:keys], "grp", "sketch"])
+            if fresh:
+                heads.extend(table.select(range(keys + 1)).take(pa.array(fresh)).combine_chunks().to_batches())
+
+        def emit() -> pa.RecordBatch:
+            head = pa.Table.from_batches(heads).combine_chunks().to_batches()[0]
+            out = pa.RecordBatch.from_arrays([*head.columns, pa.array([s.to_bytes() for s in held.values()], pa.binary())], [*head.schema.names, "sketch"])
+            held.clear()
+            heads.clear()
+            return out
 
         for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
+            if batch.num_rows:
+                waiting.append(batch)
+                rows += batch.num_rows
             if rows >= CHUNK:
-                out = flush()
-                held, rows = [], 0
-                if out is not None:
-                    yield out
+                absorb()
+                waiting, rows = [], 0
+                if sum(s.items() for s in held.values()) > HELD:
+                    yield emit()
+        if waiting:
+            absorb()
         if held:
-            out = flush()
-            if out is not None:
-                yield out
+            yield emit()
 
     return work
 

@@ -43,8 +43,10 @@ def test_small_groups_are_exact():
     assert one.quantiles(F_ALL).tolist() == [5.0] * 7
 
 
-def test_tables(spark, monkeypatch):
+@pytest.mark.parametrize("held", [4_000_000, 1000])
+def test_tables(spark, monkeypatch, held):
     monkeypatch.setattr(Q, "CHUNK", 5000)
+    monkeypatch.setattr(Q, "HELD", held)
     rng = np.random.default_rng(2)
     n = 30_000
     rows = [(int(k) if k < 5 else None, int(d), float(x), "clash", 1) for k, d, x in zip(np.where(rng.random(n) < 0.6, 0, rng.integers(1, 6, n)), rng.integers(1, 4, n), np.exp(rng.normal(size=n)))]
