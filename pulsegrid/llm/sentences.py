@@ -52,12 +52,12 @@ GREEK = regex.compile(r"\p{Greek}")
 LIST = regex.compile(r"(?:[-*+•–]|\d{1,4}[.)])[ \t]+")
 TRAILER = regex.compile(r"(?:[A-Z][A-Za-z]*(?:-[A-Za-z]+)+: \S|(?:Issue|Issues|Bug|Link|Cc|Fixes|Closes|Refs|References|Resolves): \S|\(cherry picked from commit [0-9a-f]+\)$)")
 CONFLICTS = regex.compile(r"(?:# ?)?Conflicts:$")
-START, OTHER_SCRIPT = "\x01", "\x02"
+START = "\x01"
 
 
 @dataclass
 class Block:
-    kind: str  # whole: one unit; text: to be split
+    kind: str  # fixed: one unit, no part of the model; whole: one unit; text: to be split
     start: int
     end: int
 
@@ -80,7 +80,7 @@ def blocks_of(text: str) -> list[Block]:
         nonlocal rows
         if rows:
             if all(TRAILER.match(text, a, b) for a, b in rows):
-                out.extend(Block("whole", a, b) for a, b in rows)
+                out.extend(Block("fixed", a, b) for a, b in rows)
             else:
                 listed, parts = False, []
                 for a, b in rows:
@@ -121,11 +121,11 @@ def blocks_of(text: str) -> list[Block]:
             continue
         if CONFLICTS.match(body):
             flush()
-            out.append(Block("whole", a, b))
+            out.append(Block("fixed", a, b))
             files = True
             continue
         if files and (line[0] in "\t#" or " " not in body):
-            out.append(Block("whole", a, b))
+            out.append(Block("fixed", a, b))
             continue
         files = False
         rows.append((a, b))
@@ -198,11 +198,11 @@ def pairs_of(tokens: list[tuple[int, int, str, str]]) -> list[int]:
     return depth
 
 
-def read_block(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], list[int], list[tuple[int, float, int]]]:
+def read_block(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], list[int], list[tuple[int, float]]]:
     """Token places, their codes, and the gaps where a sentence could end.
 
-    A gap is (token before it, first guess, kind): kind 0 after a stop, 1 at a line break, 2 at a blank beside
-    a script without spaces.
+    A gap is (token before it, first guess): after a stop, at a line break, or at a blank beside a script without
+    spaces.
     """
     tokens = [(m.start(), m.end(), m.group(), m.lastgroup) for m in TOKEN.finditer(text, start, end)]
     codes = []
@@ -210,7 +210,7 @@ def read_block(text: str, start: int, end: int) -> tuple[list[tuple[int, int]],
         codes.append(code_of("<u>" if kind == "url" else class_of(raw) if kind == "word" else raw))
     depth = pairs_of(tokens)
     n = len(tokens)
-    gaps: list[tuple[int, float, int]] = []
+    gaps: list[tuple[int, float]] = []
     stop = -1  # the token that holds the last stop, as long as only closing marks follow
     for i in range(n - 1):
         a, b, raw, kind = tokens[i]
@@ -233,15 +233,15 @@ def read_block(text: str, start: int, end: int) -> tuple[list[tuple[int, int]],
             wide = mark[0] in WIDE_STOPS
             if not space and not wide and not (BARE.match(nr) and mark[0] in "!?" ):
                 continue
-            gaps.append((i, _guess(tokens, i, stop, wide, space), 0))
+            gaps.append((i, _guess(tokens, i, stop, wide, space)))
         elif space:
             between = text[b : nxt[0]]
             if "\n" in between:
                 bare = kind == "bare" or nxt[3] == "bare"
-                gaps.append((i, 0.9 if bare and kind != "mark" and _closed(raw) else _deliberate(text, start, end, b, nxt), 1))
+                gaps.append((i, 0.9 if bare and kind != "mark" and _closed(raw) else _deliberate(text, start, end, b, nxt)))
             elif kind == "bare" and "฀" <= raw[0] <= "៿" or nxt[3] == "bare" and "฀" <= nxt[2][0] <= "៿":
                 fresh = nxt[3] == "mark" and nxt[2] in PAIRS or nxt[3] == "word" and nxt[2][0].isupper()
-                gaps.append((i, 0.6 if kind == "bare" and (nxt[3] == "bare" or fresh) else 0.35, 2))
+                gaps.append((i, 0.6 if kind == "bare" and (nxt[3] == "bare" or fresh) else 0.35))
     return [(t[0], t[1]) for t in tokens], codes, gaps
 
 
@@ -360,24 +360,26 @@ class Batch:
     """The blocks of many messages in a row."""
 
     def __init__(self, texts: list[str | None]):
-        self.rows, self.kinds, self.places, self.codes, self.gap_at, self.gap_guess, self.gap_kind = [], [], [], [], [], [], []
+        self.rows, self.places, self.codes, self.gap_at, self.gap_guess = [], [], [], [], []
+        self.fixed: list[tuple[int, int, int]] = []
         self.first = [0]
         for r, text in enumerate(texts):
             if not text:
                 continue
             message = text[: message_end(text)]
             for block in blocks_of(message):
+                if block.kind == "fixed":
+                    self.fixed.append((r, block.start, block.end))
+                    continue
                 places, codes, gaps = read_block(message, block.start, block.end)
                 if not places:
                     continue
                 base = self.first[-1]
                 if block.kind == "text":
-                    for i, guess, kind in gaps:
+                    for i, guess in gaps:
                         self.gap_at.append(base + i)
                         self.gap_guess.append(guess)
-                        self.gap_kind.append(kind)
                 self.rows.append(r)
-                self.kinds.append(block.kind)
                 self.places += places
                 self.codes += codes
                 self.first.append(base + len(places))
@@ -448,15 +450,16 @@ class Batch:
 
     def units(self, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, start and end of each unit."""
+        fixed = np.array(self.fixed, np.int64).reshape(-1, 3).T
         if not len(self.w):
-            z = np.empty(0, np.int64)
-            return z, z, z
+            return fixed[0], fixed[1], fixed[2]
         e = self.ends(marks)
         lasts = np.flatnonzero(e)
         firsts = np.r_[0, lasts[:-1] + 1]
         places = np.array(self.places, np.int64)
         block = np.searchsorted(np.array(self.first), firsts, "right") - 1
-        return np.array(self.rows, np.int64)[block], places[firsts, 0], places[lasts, 1]
+        found = np.array(self.rows, np.int64)[block], places[firsts, 0], places[lasts, 1]
+        return tuple(np.r_[a, b] for a, b in zip(found, fixed))
 
 
 SPLIT = 256
