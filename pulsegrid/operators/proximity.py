@@ -19,10 +19,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint, fitting, millimetres
+from ..session import checkpoint, clean, fitting, millimetres
 
 #: Points of one cell that one task may meet with as many others.
 HOT_CELL = 20_000
+#: The mean radius of the earth in metres.
+EARTH_M = 6_371_008.8
 #: Rows up to which a side is broadcast; a row has at most six numbers, so that is below 16 MB.
 BROADCAST_ROWS = 200_000
 
@@ -55,6 +57,16 @@ def _hot_cells(p: DataFrame, size: int, limit: int) -> DataFrame | None:
     return None if cells.isEmpty() else cells
 
 
+def _in_parts(home: DataFrame, other: DataFrame, crowded: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with the parts of crowded cells in their keys: each part of one side meets each of the other."""
+    crowded = fitting(crowded, BROADCAST_ROWS)
+    part = lambda seed: F.coalesce(F.pmod(F.xxhash64("id", F.lit(seed)), F.col("parts")).cast("int"), F.lit(0))
+    every = F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)
+    home = home.join(crowded, keys, "left").withColumn("pa", part(1)).withColumn("pb", F.explode(every)).drop("parts")
+    other = other.join(crowded, keys, "left").withColumn("pb", part(2)).withColumn("pa", F.explode(every)).drop("parts")
+    return home, other, [*keys, "pa", "pb"]
+
+
 def near_pairs(points: DataFrame, radius_mm: float, ident: str = "point_id", x: str = "x", y: str = "y", hot: int = HOT_CELL) -> DataFrame:
     """(id_a, id_b), smaller first, of all points at most radius_mm millimetres apart.
 
@@ -73,12 +85,7 @@ def near_pairs(points: DataFrame, radius_mm: float, ident: str = "point_id", x:
     keys = ["cx", "cy"]
     crowded = _hot_cells(p, size, hot)
     if crowded is not None:
-        crowded = fitting(crowded, BROADCAST_ROWS)
-        part = lambda seed: F.coalesce(F.pmod(F.xxhash64("id", F.lit(seed)), F.col("parts")).cast("int"), F.lit(0))
-        every = F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)
-        home = home.join(crowded, keys, "left").withColumn("pa", part(1)).withColumn("pb", F.explode(every)).drop("parts")
-        other = other.join(crowded, keys, "left").withColumn("pb", part(2)).withColumn("pa", F.explode(every)).drop("parts")
-        keys = [*keys, "pa", "pb"]
+        home, other, keys = _in_parts(home, other, crowded, keys)
     # Repeated rows lie in one cell, so the partitioning of the join also serves to drop them.
     home = home.repartition(*keys).dropDuplicates([*keys, "id"])
     other = other.repartition(*keys).dropDuplicates([*keys, "id"])
@@ -88,6 +95,40 @@ def near_pairs(points: DataFrame, radius_mm: float, ident: str = "point_id", x:
     return met.select(F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b"))
 
 
+def near_on_earth(points: DataFrame, radius_m: float, ident: str = "id", lon: str = "lon", lat: str = "lat", hot: int = HOT_CELL) -> DataFrame:
+    """(id_a, id_b), smaller first, of all places (in degrees) at most radius_m apart along a great circle.
+
+    Places are hashed to cells of space, so that poles and the date line need no care; the exact distance on a
+    sphere of EARTH_M decides. Null, NaN and impossible places and null ids are left out, repeated rows count once.
+    """
+    p = points.select(F.col(ident).alias("id"), clean(lon).alias("lon"), clean(lat).alias("lat")).where("id is not null and lon is not null and lat between -90 and 90")
+    a, b = F.radians("lon"), F.radians("lat")
+    p = p.withColumns({"x": F.cos(a) * F.cos(b) * EARTH_M, "y": F.sin(a) * F.cos(b) * EARTH_M, "z": F.sin(b) * EARTH_M})
+    reach = 2 * EARTH_M * math.sin(min(radius_m / (2 * EARTH_M), math.pi / 2)) * (1 + 1e-9) + 1e-3
+    size = 4 * reach
+    axes = ("x", "y", "z")
+    keys = [f"c{c}" for c in axes]
+    home = p.withColumns({f"c{c}": F.floor(F.col(c) / size).cast("long") for c in axes})
+    other = home
+    for c in axes:
+        within = F.col(c) - F.col(f"c{c}") * size
+        other = other.withColumn(f"d{c}", F.explode(F.array_compact(F.array(F.lit(0), F.when(within <= reach, -1), F.when(within >= size - reach, 1)))))
+    order = F.col("dx") * 9 + F.col("dy") * 3 + F.col("dz")
+    other = other.where(order <= 0).withColumn("own", order == 0).select("id", "lon", "lat", "own", *[(F.col(f"c{c}") + F.col(f"d{c}")).alias(f"c{c}") for c in axes])
+    home = home.select("id", "lon", "lat", *keys)
+    crowded = checkpoint(home.groupBy(*keys).count().where(F.col("count") > hot).select(*keys, F.ceil(F.col("count") / hot).cast("int").alias("parts")))
+    if not crowded.isEmpty():
+        home, other, keys = _in_parts(home, other, crowded, keys)
+    home = home.repartition(*keys).dropDuplicates([*keys, "id"]).alias("a")
+    other = other.repartition(*keys).dropDuplicates([*keys, "id"]).alias("b")
+    half = lambda n: F.sin((F.radians(f"a.{n}") - F.radians(f"b.{n}")) / 2)
+    h = half("lat") * half("lat") + F.cos(F.radians("a.lat")) * F.cos(F.radians("b.lat")) * half("lon") * half("lon")
+    far = 2 * EARTH_M * F.asin(F.least(F.sqrt(h), F.lit(1.0)))
+    once = F.when(F.col("b.own"), F.col("a.id") < F.col("b.id")).otherwise(F.col("a.id") != F.col("b.id"))
+    met = home.join(other, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [once, far <= radius_m])
+    return met.select(F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b"))
+
+
 def polygon_edges(polygons: DataFrame, poly: str = "poly_id", seq: str = "seq", x: str = "x", y: str = "y") -> DataFrame:
     """(poly_id, x1, y1, x2, y2) in millimetres; the ring closes from its last vertex to its first.
 

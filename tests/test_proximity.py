@@ -56,3 +56,34 @@ def test_regions(spark, monkeypatch, limit):
     mm = lambda v: np.round(v * 1000)
     want = {(k, i) for k, v in rings.items() for i, x, y in pts if one(mm(x), mm(y), mm(v[:, 0]).tolist(), mm(v[:, 1]).tolist(), 0)}
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_split_tiles_hold_all_points(spark):
+    """A third of all points in one crowded cell gives the same pairs, however it is split."""
+    rng = np.random.default_rng(9)
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.round(rng.uniform(0, 30, (600, 2)), 3))]
+    rows += [(1000 + i, float(x), float(y)) for i, (x, y) in enumerate(np.round(rng.uniform(5, 5.8, (300, 2)), 3))]
+    got = [{tuple(r) for r in P.near_pairs(table(spark, rows), 300.5, hot=h).collect()} for h in (20_000, 100, 7)]
+    assert got[0] == brute(rows, 300.5) and got[1] == got[0] and got[2] == got[0]
+
+
+@pytest.mark.parametrize("hot", [20_000, 10])
+def test_near_on_earth(spark, hot):
+    rng = np.random.default_rng(4)
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(-180, 180, 250), rng.uniform(-90, 90, 250)))]
+    rows += [(300 + i, 10.0 + float(a), 50.0 + float(b)) for i, (a, b) in enumerate(rng.normal(0, 3, (80, 2)))]
+    rows += [(400, 179.9, 0.0), (401, -179.9, 0.0), (402, 0.0, 90.0), (403, 90.0, 89.9), (404, -170.0, 89.0)]
+    rows += rows[:20]
+    want = set()
+    pts = {i: (np.radians(a), np.radians(b)) for i, a, b in rows}
+    for i, (a, b) in pts.items():
+        for j, (c, d) in pts.items():
+            if i < j:
+                h = np.sin((b - d) / 2) ** 2 + np.cos(b) * np.cos(d) * np.sin((a - c) / 2) ** 2
+                if 2 * P.EARTH_M * np.arcsin(min(np.sqrt(h), 1)) <= 500_000:
+                    want.add((i, j))
+    bad = [(500, None, 1.0), (501, float("nan"), 1.0), (502, 1.0, 91.0), (None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows + bad, "id long, lon double, lat double").withColumn("x", F.lit("clash")).withColumn("own", F.lit(1))
+    got = P.near_on_earth(df, 500_000.0, hot=hot).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and {(400, 401), (402, 403), (402, 404)} <= want
+    assert P.near_on_earth(df.where("false"), 10.0).count() == 0
