@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import drift, profile, proximity, spikes
-from ..session import clean, millimetres, read
+from ..session import clean, read
+from ..sources import formats
 
 
 def _mm(name: str) -> Column:
@@ -110,5 +111,37 @@ union all select 'region', poly_id, id from wind where w <> 0
 """
 
 
+_FORMAT_ROWS = ", ".join(f"({k}, '{n}', '{t}')" for k in formats.SUPPORTED for n, t in formats.fields_of(k))
+_VERSION_ROWS = ", ".join(f"({m}, '{n}')" for m, names in drift.VERSION_FIELDS.items() for n in names)
+_TYPE_ROWS = ", ".join(f"({k}, '{n}', {size})" for k, (n, size) in formats.EXTRA_TYPES.items())
+P6_SQL = f"""
+with h as (select distinct file_id, project_id_guid1 as s, coalesce(file_creation_year, 0) as y, coalesce(file_creation_day_of_year, 0) as d, point_data_format as pdrf, version_minor as minor
+           from header where point_data_format between 0 and 10 and version_minor between 0 and 4),
+f as (select *, row_number() over (partition by s order by y, d, file_id) as ord from h),
+b as (select * from (values {_FORMAT_ROWS}) t(pdrf, name, type)),
+v as (select * from (values {_VERSION_ROWS}) t(minor, name)),
+k as (select * from (values {_TYPE_ROWS}) t(code, type, size)),
+r as (select file_id, is_extended, idx, u.i, substr(hex(data), u.i * 384 + 1, 384) as x
+      from (select * from vlr where user_id = 'LASF_Spec' and record_id = 4 and octet_length(data) >= 192) a, lateral (select unnest(range(octet_length(a.data) // 192)) as i) u),
+t as (select file_id, is_extended, idx, i, lower(trim(split_part(decode(unhex(substr(x, 9, 64))), chr(0), 1))) as name, lower(trim(split_part(decode(unhex(substr(x, 321, 64))), chr(0), 1))) as description,
+             cast('0x' || substr(x, 5, 2) as integer) as code, cast('0x' || substr(x, 7, 2) as integer) as options from r),
+e as (select file_id, regexp_replace(t.name, '[^a-z0-9_]', '_', 'g') as name, case when code = 0 then 'bytes[' || options || ']' else k.type end as type, description, case when code = 0 then options else k.size end as size
+      from t left join k using (code) qualify row_number() over (partition by file_id, regexp_replace(t.name, '[^a-z0-9_]', '_', 'g') order by is_extended, idx, i) = 1),
+a as (select s, ord, file_id, b.name, b.type, '' as description from f join b using (pdrf)
+      union all select s, ord, file_id, v.name, 'header', '' from f join v on f.minor >= v.minor
+      union all select s, ord, f.file_id, e.name, e.type, e.description from f join e using (file_id)),
+new as (select c.*, row_number() over (partition by c.s, c.ord, c.description order by c.name) as n from a c left join a p on p.s is not distinct from c.s and p.ord = c.ord - 1 and p.name = c.name where c.ord > 1 and p.name is null),
+gone as (select p.s, p.ord + 1 as ord, q.file_id, p.name, p.type, p.description, row_number() over (partition by p.s, p.ord, p.description order by p.name) as n
+         from a p join f q on q.s is not distinct from p.s and q.ord = p.ord + 1 left join a c on c.s is not distinct from p.s and c.ord = p.ord + 1 and c.name = p.name where c.name is null),
+m as (select n.file_id, n.name, n.type, g.name as old_name, g.type as old_type from new n join gone g on n.file_id = g.file_id and n.description = g.description and n.n = g.n where n.description <> '')
+select c.file_id, c.name as field, 'retyped' as change_kind from a c join a p on p.s is not distinct from c.s and p.ord = c.ord - 1 and p.name = c.name and p.type <> c.type
+union all select file_id, name, 'renamed' from m union all select file_id, name, 'retyped' from m where type <> old_type
+union all select file_id, name, 'added' from new where not exists (select 1 from m where m.file_id = new.file_id and m.name = new.name)
+union all select file_id, name, 'removed' from gone where not exists (select 1 from m where m.file_id = gone.file_id and m.old_name = gone.name)
+union all select p.file_id, 'extradata', 'mismatch' from (select file_id, min(coalesce(octet_length(extradata), 0)) as low, max(coalesce(octet_length(extradata), 0)) as high from lasdata group by 1) p
+  join f using (file_id) left join (select file_id, sum(size) as size from e group by 1) z using (file_id) where low <> coalesce(z.size, 0) or high <> coalesce(z.size, 0)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL, "p3_found": P3_SQL}
+    return {"p2_found": P2_SQL, "p3_found": P3_SQL, "p6_found": P6_SQL}
