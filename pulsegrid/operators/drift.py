@@ -9,6 +9,7 @@ window grows with the series.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +18,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.codecs import scan_angle_degrees
 from ..session import checkpoint
 from ..sources.formats import EXTRA_TYPES, POINT_FIELDS, extra_bytes_size, fields_of
+from .extrabytes import OFFSET, SCALE, ExtraField, from_raw
 
 DESCRIPTOR = 192
 BLOCK = 4096
@@ -28,27 +31,36 @@ VERSION_FIELDS = {
 }
 
 
-def descriptors(vlr: DataFrame) -> DataFrame:
+def descriptors(vlr: DataFrame, scaling: bool = False) -> DataFrame:
     """(file_id, name, type, description, data_type, options, size, pos) of the extra-byte fields a file declares.
 
     Names and descriptions are cut at the first NUL, trimmed and lower-cased, in names each other character
     than a-z, 0-9 and _ becomes _. A field that repeated records declare again counts once. type is the name of
-    the number type, or bytes[n] for type 0.
+    the number type, or bytes[n] for type 0. scaling: also scale and offset, the doubles as hexadecimal text, empty
+    where the option bit is not set.
     """
     text = lambda c: F.lower(F.trim(F.regexp_extract(F.decode(c, "ISO-8859-1"), r"(?s)^([^\x00]*)", 1)))
     byte = lambda c, at: F.conv(F.hex(F.substring(c, at, 1)), 16, 10).cast("int")
+    real = lambda at, bit: F.when((byte("d", 3) != 0) & (byte("d", 4).bitwiseAND(bit) != 0), F.hex(F.substring("d", at, 8))).otherwise("")
+    more = ["scale", "offset"] if scaling else []
     d = (
         vlr.where("user_id = 'LASF_Spec' and record_id = 4 and file_id is not null and length(data) >= 192")
         .select("file_id", F.col("is_extended").cast("int").alias("ext"), "idx", "data")
         .withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.length("data") / DESCRIPTOR).cast("int") - 1)))
         .select("file_id", "ext", "idx", "k", F.substring(F.col("data"), F.col("k") * DESCRIPTOR + 1, F.lit(DESCRIPTOR)).alias("d"))
     )
-    d = d.select("file_id", "ext", "idx", "k", F.regexp_replace(text(F.substring("d", 5, 32)), "[^a-z0-9_]", "_").alias("name"), byte("d", 3).alias("data_type"), byte("d", 4).alias("options"), text(F.substring("d", 161, 32)).alias("description"))
+    d = d.select("file_id", "ext", "idx", "k", F.regexp_replace(text(F.substring("d", 5, 32)), "[^a-z0-9_]", "_").alias("name"), byte("d", 3).alias("data_type"), byte("d", 4).alias("options"), text(F.substring("d", 161, 32)).alias("description"), *([real(113, SCALE).alias("scale"), real(137, OFFSET).alias("offset")] if scaling else []))
     names = F.create_map(*[F.lit(x) for k, (n, _) in EXTRA_TYPES.items() for x in (k, n)])
     kind = F.when(F.col("data_type") == 0, F.format_string("bytes[%d]", F.col("options"))).otherwise(F.coalesce(F.try_element_at(names, F.col("data_type")), F.format_string("type%d", F.col("data_type"))))
     size = F.when(F.col("data_type") == 0, F.col("options")).otherwise(F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, (_, s) in EXTRA_TYPES.items() for x in (k, s)]), F.col("data_type")), F.lit(0)))
-    first = d.groupBy("file_id", "name").agg(F.min(F.struct("ext", "idx", "k", "data_type", "options", "description")).alias("s")).select("file_id", "name", "s.*")
-    return first.select("file_id", "name", kind.alias("type"), "description", "data_type", "options", size.alias("size"), F.struct("ext", "idx", "k").alias("pos"))
+    first = d.groupBy("file_id", "name").agg(F.min(F.struct("ext", "idx", "k", "data_type", "options", "description", *more)).alias("s")).select("file_id", "name", "s.*")
+    return first.select("file_id", "name", kind.alias("type"), "description", "data_type", "options", size.alias("size"), F.struct("ext", "idx", "k").alias("pos"), *more)
+
+
+def _first_deliveries(header: DataFrame, *more: str) -> DataFrame:
+    """(file_id, l, received_at, series, year, day, pdrf, minor and more): each file as it was first delivered."""
+    first = F.struct(F.coalesce("load_id", F.lit(2**31 - 1)).alias("l"), "received_at", F.col("project_id_guid1").alias("series"), F.col("file_creation_year").alias("year"), F.col("file_creation_day_of_year").alias("day"), F.col("point_data_format").cast("int").alias("pdrf"), F.col("version_minor").cast("int").alias("minor"), *more)
+    return header.where("file_id is not null").groupBy("file_id").agg(F.min(first).alias("s")).select("file_id", "s.*").where("pdrf between 0 and 10 and minor between 0 and 4")
 
 
 def numbered_files(header: DataFrame) -> DataFrame:
@@ -56,8 +68,7 @@ def numbered_files(header: DataFrame) -> DataFrame:
 
     Numbers come from the place within a day plus the files of earlier days, so that no window holds a series.
     """
-    f = header.where("file_id is not null").groupBy("file_id").agg(F.min(F.struct(F.coalesce("load_id", F.lit(2**31 - 1)).alias("l"), "received_at", F.col("project_id_guid1").alias("series"), F.col("file_creation_year").alias("year"), F.col("file_creation_day_of_year").alias("day"), F.col("point_data_format").cast("int").alias("pdrf"), F.col("version_minor").cast("int").alias("minor"))).alias("s"))
-    f = f.select("file_id", "s.*").where("pdrf between 0 and 10 and minor between 0 and 4").select("file_id", "series", F.coalesce("year", F.lit(0)).alias("year"), F.coalesce("day", F.lit(0)).alias("day"), "pdrf", "minor")
+    f = _first_deliveries(header).select("file_id", "series", F.coalesce("year", F.lit(0)).alias("year"), F.coalesce("day", F.lit(0)).alias("day"), "pdrf", "minor")
     days = f.groupBy("series", "year", "day").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("series").orderBy("year", "day")
     days = days.select("series", "year", "day", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("series")).alias("files"))
@@ -144,9 +155,10 @@ def aliases(vlr: DataFrame) -> DataFrame:
     """(name, field, kind): the one column that each declared name is cast to.
 
     Names with one description are the same field; it takes the name that most files use (of equal ones the
-    first) and a type that holds all: binary for opaque bytes, double if any file has a float or 64 bits, else long.
+    first) and a type that holds all: binary (the bytes of every file as they are) for opaque bytes, double if any
+    file has a float, 64 bits, a scale or an offset, else long.
     """
-    d = descriptors(vlr).groupBy("name", "description").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("data_type") == 0, 2).when(F.col("data_type").isin(7, 8, 9, 10), 1).otherwise(0)).alias("rank"))
+    d = descriptors(vlr).groupBy("name", "description").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("data_type") == 0, 2).when(F.col("data_type").isin(7, 8, 9, 10) | (F.col("options").bitwiseAND(SCALE | OFFSET) != 0), 1).otherwise(0)).alias("rank"))
     # A name without description, or with several, follows the description that most files give it.
     d = d.withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy((F.col("description") == "").cast("int"), F.desc("n"), "description"))).where("r = 1")
     key = F.when(F.col("description") == "", F.concat(F.lit("name "), F.col("name"))).otherwise(F.concat(F.lit("text "), F.col("description")))
@@ -156,6 +168,12 @@ def aliases(vlr: DataFrame) -> DataFrame:
     return d.join(to.withColumnRenamed("rank", "to_rank"), "key").select("name", "field", F.element_at(F.array(F.lit("long"), F.lit("double"), F.lit("binary")), F.col("to_rank") + 1).alias("kind"))
 
 
+def _scaling(scale: str, offset: str) -> ExtraField:
+    """A field with the scale and offset of a layout, where it has them."""
+    real = lambda x: struct.unpack("<d", bytes.fromhex(x))[0]
+    return ExtraField("", options=SCALE * bool(scale) | OFFSET * bool(offset), scale=real(scale) if scale else 1.0, offset=real(offset) if offset else 0.0)
+
+
 def _decoder(columns: list[tuple[str, str]], point_columns: list[str]):
     place = {name: i for i, (name, _) in enumerate(columns)}
 
@@ -178,7 +196,7 @@ def _decoder(columns: list[tuple[str, str]], point_columns: list[str]):
                 raw = data.to_pylist() if raw is None else raw
                 block = np.frombuffer(b"".join([raw[i] for i in rows.tolist()]), np.uint8).reshape(len(rows), width)
                 at = 0
-                for field, kind, size in parts:
+                for field, kind, size, scale, offset in parts:
                     j, size = place[field], int(size)
                     piece = np.ascontiguousarray(block[:, at : at + size])
                     at += size
@@ -186,7 +204,7 @@ def _decoder(columns: list[tuple[str, str]], point_columns: list[str]):
                         for i, row in zip(rows.tolist(), piece):
                             outs[j][i] = row.tobytes()
                     elif kind != "-":
-                        value = piece.view("<" + kind).ravel()
+                        value = from_raw(piece.view("<" + kind).ravel(), _scaling(scale, offset))
                         outs[j][rows] = value if columns[j][1] == "double" else value.astype("i8")
                     else:
                         continue
@@ -199,12 +217,14 @@ def _decoder(columns: list[tuple[str, str]], point_columns: list[str]):
     return decode
 
 
-def unified_points(points: DataFrame, vlr: DataFrame) -> DataFrame:
+def unified_points(points: DataFrame, vlr: DataFrame, header: DataFrame | None = None) -> DataFrame:
     """All points (repeated rows of one point_id once) in one table with one column for each field of any file.
 
     Fields that a file lacks are null, extra bytes become typed columns under the names of aliases(); a field
     named like a point column gets the suffix _x. Rows whose extradata hasn't the declared length keep null
-    extra fields (mismatches() reports their files).
+    extra fields (mismatches() reports their files). Extra bytes come with scale and offset applied. scan_angle is in
+    degrees: whole ones below format 6, else units of 0.006. Of a file without a usable header the format is told by
+    bits2, which begins with format 6.
     """
     names = aliases(vlr)
     columns = sorted((r["field"], r["kind"]) for r in names.select("field", "kind").distinct().limit(5001).collect())
@@ -212,11 +232,16 @@ def unified_points(points: DataFrame, vlr: DataFrame) -> DataFrame:
         raise ValueError("more than 5000 extra fields; no table has so many columns")
     codes = {1: "u1", 2: "i1", 3: "u2", 4: "i2", 5: "u4", 6: "i4", 7: "u8", 8: "i8", 9: "f4", 10: "f8"}
     code = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in codes.items() for x in kv]), F.col("data_type")), F.lit("-"))
-    layout = descriptors(vlr).join(names, "name").withColumn("p", F.struct("pos", F.concat_ws(":", "field", code, "size").alias("s")))
+    layout = descriptors(vlr, scaling=True).join(names, "name").withColumn("p", F.struct("pos", F.concat_ws(":", "field", code, "size", "scale", "offset").alias("s")))
     layout = layout.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["s"]), ";").alias("_layout"))
     base = [c for c in points.columns if c in POINT_FIELDS or c in ("point_id", "file_id", "point_index", "load_id")]
     p = points.dropDuplicates(["point_id"])
-    p = p.join(layout, "file_id", "left").select(*base, F.col("extradata").alias("_extra"), "_layout")
+    of_file = layout if header is None else layout.join(_first_deliveries(header).select("file_id", "pdrf"), "file_id", "full")
+    p = p.join(of_file, "file_id", "left")
+    if "scan_angle" in base:
+        known = [F.col("pdrf")] if header is not None else []
+        p = p.withColumn("scan_angle", scan_angle_degrees("scan_angle", F.coalesce(*known, F.when(F.col("bits2").isNotNull(), 6).otherwise(0))))
+    p = p.select(*base, F.col("extradata").alias("_extra"), "_layout")
     spark_kind = {"long": T.LongType(), "double": T.DoubleType(), "binary": T.BinaryType()}
     schema = T.StructType([p.schema[c] for c in base] + [T.StructField(f"{n}_x" if n in base else n, spark_kind[k]) for n, k in columns])
     return p.mapInArrow(_decoder(columns, base), schema)

@@ -52,7 +52,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.unified_points(read(spark, sf_dir, "lasdata"), read(spark, sf_dir, "vlr"))
+    return drift.unified_points(read(spark, sf_dir, "lasdata"), read(spark, sf_dir, "vlr"), read(spark, sf_dir, "header"))
 
 
 def p6_lifespans(spark: SparkSession, sf_dir: str) -> DataFrame:

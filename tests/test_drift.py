@@ -78,3 +78,16 @@ def test_unified(spark):
     name = next(c for c in u.columns if c in ("a_b", "hgt", "hgt2"))
     assert {r[0] for r in u.where("file_id = 2").select(name).collect()} == {2.5}
     assert u.where("file_id = 4").where(F.col(name).isNotNull()).count() == 0
+
+
+def test_unified_scaled(spark):
+    v = [
+        (1, False, 0, "LASF_Spec", 4, bytearray(desc("h", 9, "height") + desc("s", 1)), ""),
+        (2, False, 0, "LASF_Spec", 4, bytearray(ExtraField("h", 4, 24, scale=0.001, offset=1.0, description="height").pack() + ExtraField("s", 1, 8, scale=0.5).pack()), ""),
+    ]
+    h = [(1, 1, None, 7, 2020, 1, 1, 2, 0, ""), (2, 1, None, 7, 2020, 2, 6, 4, 0, ""), (2, 2, None, 7, 2020, 2, 6, 4, 0, "")]
+    p = [(1, 1, 0, 1, 15, None, bytearray(struct.pack("<fB", 2.5, 3))), (2, 2, 0, 1, 2500, None, bytearray(struct.pack("<hB", 1500, 3))), (3, 3, 0, 1, 2500, 1, None), (4, 3, 1, 1, None, 1, None)]
+    p = spark.createDataFrame(p, "point_id long, file_id long, point_index long, load_id int, scan_angle short, bits2 short, extradata binary")
+    u = D.unified_points(p, spark.createDataFrame(v, VLR), spark.createDataFrame(h, HEADER))
+    got = {r.point_id: (r.h, r.s, r.scan_angle) for r in u.collect()}
+    assert dict(u.dtypes)["s"] == "double" and got == {1: (2.5, 3.0, 15.0), 2: (2.5, 1.5, 15.0), 3: (None, None, 15.0), 4: (None, None, None)}
