@@ -224,7 +224,8 @@ def unified_points(points: DataFrame, vlr: DataFrame, header: DataFrame | None =
     named like a point column gets the suffix _x. Rows whose extradata hasn't the declared length keep null
     extra fields (mismatches() reports their files). Extra bytes come with scale and offset applied. scan_angle is in
     degrees: whole ones below format 6, else units of 0.006. Of a file without a usable header the format is told by
-    bits2, which begins with format 6.
+    bits2, which begins with format 6. With header the fields that its version gives a file (VERSION_FIELDS) are
+    columns too.
     """
     names = aliases(vlr)
     columns = sorted((r["field"], r["kind"]) for r in names.select("field", "kind").distinct().limit(5001).collect())
@@ -236,7 +237,11 @@ def unified_points(points: DataFrame, vlr: DataFrame, header: DataFrame | None =
     layout = layout.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["s"]), ";").alias("_layout"))
     base = [c for c in points.columns if c in POINT_FIELDS or c in ("point_id", "file_id", "point_index", "load_id")]
     p = points.dropDuplicates(["point_id"])
-    of_file = layout if header is None else layout.join(_first_deliveries(header).select("file_id", "pdrf"), "file_id", "full")
+    of_file = layout
+    if header is not None:
+        since = {n: m for m, names in VERSION_FIELDS.items() for n in names if n in header.columns}
+        files = _first_deliveries(header, *since).select("file_id", "pdrf", *[F.when(F.col("minor") >= m, F.col(n)).alias(n) for n, m in since.items()])
+        of_file, base = layout.join(files, "file_id", "full"), [*base, *since]
     p = p.join(of_file, "file_id", "left")
     if "scan_angle" in base:
         known = [F.col("pdrf")] if header is not None else []

@@ -91,3 +91,19 @@ def test_unified_scaled(spark):
     u = D.unified_points(p, spark.createDataFrame(v, VLR), spark.createDataFrame(h, HEADER))
     got = {r.point_id: (r.h, r.s, r.scan_angle) for r in u.collect()}
     assert dict(u.dtypes)["s"] == "double" and got == {1: (2.5, 3.0, 15.0), 2: (2.5, 1.5, 15.0), 3: (None, None, 15.0), 4: (None, None, None)}
+
+
+def test_unified_version_fields(spark):
+    from decimal import Decimal
+
+    more = "start_of_waveform_data decimal(20,0), start_of_extended_variable_length_record decimal(20,0), number_of_extended_variable_length_record long, legacy_number_of_point_records long, legacy_number_of_points_by_return array<long>"
+    d = Decimal
+    h = [(f, 1, None, 7, 2020, f, 1, m, 0, "", d(9), d(8), 7, 6, [5, 4]) for f, m in ((1, 2), (2, 3), (3, 4))]
+    h.append((3, 2, None, 7, 2020, 3, 1, 4, 0, "", d(1), d(1), 1, 1, [1]))  # delivered again
+    v = spark.createDataFrame([(3, False, 0, "LASF_Spec", 4, bytearray(desc("start_of_waveform_data", 1)), "")], VLR)
+    p = spark.createDataFrame([(i, i, 0, 1, bytearray(b"\x05") if i == 3 else None) for i in range(1, 5)], "point_id long, file_id long, point_index long, load_id int, extradata binary")
+    u = D.unified_points(p, v, spark.createDataFrame(h, f"{HEADER}, {more}"))
+    names = [n for group in D.VERSION_FIELDS.values() for n in group]
+    got = {r[0]: r[1:] for r in map(tuple, u.select("point_id", *names, "start_of_waveform_data_x").collect())}
+    none = (None,) * 4
+    assert got == {1: (None, *none, None), 2: (d(9), *none, None), 3: (d(9), d(8), 7, 6, [5, 4], 5), 4: (None, *none, None)}
