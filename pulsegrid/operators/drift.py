@@ -154,18 +154,23 @@ def lifespans(header: DataFrame, vlr: DataFrame) -> DataFrame:
 def aliases(vlr: DataFrame) -> DataFrame:
     """(name, field, kind): the one column that each declared name is cast to.
 
-    Names with one description are the same field; it takes the name that most files use (of equal ones the
-    first) and a type that holds all: binary (the bytes of every file as they are) for opaque bytes, double if any
-    file has a float, 64 bits, a scale or an offset, else long.
+    Names with one description are the same field, unless a file has several of them: then each name is its own.
+    It takes the name that most files use (of equal ones the first) and a type that holds all: binary (the bytes of
+    every file as they are) for opaque bytes, double if any file has a float, a scale or an offset, decimal for
+    uint64, else long.
     """
-    d = descriptors(vlr).groupBy("name", "description").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("data_type") == 0, 2).when(F.col("data_type").isin(7, 8, 9, 10) | (F.col("options").bitwiseAND(SCALE | OFFSET) != 0), 1).otherwise(0)).alias("rank"))
+    own = descriptors(vlr)
+    rank = F.when(F.col("data_type") == 0, 3).when(F.col("data_type").isin(9, 10) | (F.col("options").bitwiseAND(SCALE | OFFSET) != 0), 2).when(F.col("data_type") == 7, 1).otherwise(0)
+    d = own.groupBy("name", "description").agg(F.count(F.lit(1)).alias("n"), F.max(rank).alias("rank")).withColumn("rank", F.max("rank").over(Window.partitionBy("name")))
     # A name without description, or with several, follows the description that most files give it.
     d = d.withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy((F.col("description") == "").cast("int"), F.desc("n"), "description"))).where("r = 1")
     key = F.when(F.col("description") == "", F.concat(F.lit("name "), F.col("name"))).otherwise(F.concat(F.lit("text "), F.col("description")))
     d = d.withColumn("key", key)
+    apart = own.join(d.select("name", "key"), "name").groupBy("file_id", "key").count().where("count > 1").select("key", F.lit(True).alias("apart")).distinct()
+    d = d.join(apart, "key", "left").withColumn("key", F.when(F.col("apart"), F.concat(F.lit("name "), F.col("name"))).otherwise(F.col("key")))
     to = d.groupBy("key").agg(F.min_by("name", F.struct(-F.col("n"), F.col("name"))).alias("field"), F.max("rank").alias("rank"))
-    kinds = F.element_at(F.array(F.lit("long"), F.lit("double"), F.lit("binary")), F.col("rank") + 1)
-    return d.join(to.withColumnRenamed("rank", "to_rank"), "key").select("name", "field", F.element_at(F.array(F.lit("long"), F.lit("double"), F.lit("binary")), F.col("to_rank") + 1).alias("kind"))
+    kinds = F.element_at(F.array(*[F.lit(k) for k in ("long", "decimal", "double", "binary")]), F.col("to_rank") + 1)
+    return d.join(to.withColumnRenamed("rank", "to_rank"), "key").select("name", "field", kinds.alias("kind"))
 
 
 def _scaling(scale: str, offset: str) -> ExtraField:
@@ -186,6 +191,7 @@ def _decoder(columns: list[tuple[str, str]], point_columns: list[str]):
             codes = pa.compute.fill_null(layouts.indices, -1).to_numpy(zero_copy_only=False)
             outs = [np.zeros(n, "f8" if k == "double" else "i8") if k != "binary" else np.full(n, None, object) for _, k in columns]
             seen = [np.zeros(n, bool) for _ in columns]
+            unsigned = {j: np.zeros(n, bool) for j, (_, k) in enumerate(columns) if k == "decimal"}
             raw = None
             for code, layout in enumerate(layouts.dictionary.to_pylist()):
                 parts = [p.split(":") for p in layout.split(";")]
@@ -206,11 +212,19 @@ def _decoder(columns: list[tuple[str, str]], point_columns: list[str]):
                     elif kind != "-":
                         value = from_raw(piece.view("<" + kind).ravel(), _scaling(scale, offset))
                         outs[j][rows] = value if columns[j][1] == "double" else value.astype("i8")
+                        if j in unsigned:
+                            unsigned[j][rows] = kind == "u8"
                     else:
                         continue
                     seen[j][rows] = True
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in point_columns]
-            for (_, kind), out, ok in zip(columns, outs, seen):
+            for j, ((_, kind), out, ok) in enumerate(zip(columns, outs, seen)):
+                if kind == "decimal":
+                    # Numbers of 64 bits without sign are kept in the bits of one with sign until here.
+                    whole = pa.decimal128(20, 0)
+                    both = pa.compute.if_else(pa.array(unsigned[j]), pa.array(out.view("u8")).cast(whole), pa.array(out).cast(whole))
+                    arrays.append(pa.compute.if_else(pa.array(ok), both, pa.scalar(None, whole)))
+                    continue
                 arrays.append(pa.array(out, {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}[kind], mask=~ok))
             yield pa.RecordBatch.from_arrays(arrays, [*point_columns, *[f"{name}_x" if name in point_columns else name for name, _ in columns]])
 
@@ -218,7 +232,7 @@ def _decoder(columns: list[tuple[str, str]], point_columns: list[str]):
 
 
 def unified_points(points: DataFrame, vlr: DataFrame, header: DataFrame | None = None) -> DataFrame:
-    """All points (repeated rows of one point_id once) in one table with one column for each field of any file.
+    """All points (repeated rows of one point_id once, each without one) in one table, a column for each field of any file.
 
     Fields that a file lacks are null, extra bytes become typed columns under the names of aliases(); a field
     named like a point column gets the suffix _x. Rows whose extradata hasn't the declared length keep null
@@ -236,7 +250,7 @@ def unified_points(points: DataFrame, vlr: DataFrame, header: DataFrame | None =
     layout = descriptors(vlr, scaling=True).join(names, "name").withColumn("p", F.struct("pos", F.concat_ws(":", "field", code, "size", "scale", "offset").alias("s")))
     layout = layout.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["s"]), ";").alias("_layout"))
     base = [c for c in points.columns if c in POINT_FIELDS or c in ("point_id", "file_id", "point_index", "load_id")]
-    p = points.dropDuplicates(["point_id"])
+    p = points.where("point_id is not null").dropDuplicates(["point_id"]).unionByName(points.where("point_id is null"))
     of_file = layout
     if header is not None:
         since = {n: m for m, names in VERSION_FIELDS.items() for n in names if n in header.columns}
@@ -247,7 +261,7 @@ def unified_points(points: DataFrame, vlr: DataFrame, header: DataFrame | None =
         known = [F.col("pdrf")] if header is not None else []
         p = p.withColumn("scan_angle", scan_angle_degrees("scan_angle", F.coalesce(*known, F.when(F.col("bits2").isNotNull(), 6).otherwise(0))))
     p = p.select(*base, F.col("extradata").alias("_extra"), "_layout")
-    spark_kind = {"long": T.LongType(), "double": T.DoubleType(), "binary": T.BinaryType()}
+    spark_kind = {"long": T.LongType(), "decimal": T.DecimalType(20, 0), "double": T.DoubleType(), "binary": T.BinaryType()}
     schema = T.StructType([p.schema[c] for c in base] + [T.StructField(f"{n}_x" if n in base else n, spark_kind[k]) for n, k in columns])
     return p.mapInArrow(_decoder(columns, base), schema)
 

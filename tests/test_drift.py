@@ -107,3 +107,22 @@ def test_unified_version_fields(spark):
     got = {r[0]: r[1:] for r in map(tuple, u.select("point_id", *names, "start_of_waveform_data_x").collect())}
     none = (None,) * 4
     assert got == {1: (None, *none, None), 2: (d(9), *none, None), 3: (d(9), d(8), 7, 6, [5, 4], 5), 4: (None, *none, None)}
+
+
+def test_unified_keeps_all(spark):
+    record = lambda f, *x: (f, False, 0, "LASF_Spec", 4, bytearray(b"".join(desc(*y) for y in x)), "")
+    v = spark.createDataFrame(
+        [
+            record(1, ("a", 1, "same"), ("b", 1, "same"), ("big", 7)), record(2, ("big", 8)), record(3, ("c", 8, "t"), ("k", 1, "many")), record(4, ("d", 8, "T"), ("k", 1, "many")),
+            (5, False, 0, "LASF_Spec", 4, bytearray(ExtraField("k", 2, 8, scale=0.5).pack()), ""),
+        ],
+        VLR,
+    )
+    big = 2**53 + 1
+    p = [(1, 1, 0, 1, struct.pack("<BBQ", 3, 4, 2**64 - 1)), (None, 2, 0, 1, struct.pack("<q", -big)), (None, 2, 1, 1, struct.pack("<q", big)), (3, 3, 0, 1, struct.pack("<qB", big, 7)), (4, 4, 0, 1, struct.pack("<qB", -big, 8)), (5, 5, 0, 1, b"\x01"), (5, 5, 0, 2, b"\x01")]
+    p = spark.createDataFrame([(*r[:4], bytearray(r[4])) for r in p], "point_id long, file_id long, point_index long, load_id int, extradata binary")
+    u = D.unified_points(p, v)
+    assert "d" not in u.columns and dict(u.dtypes)["big"] == "decimal(20,0)" and dict(u.dtypes)["c"] == "bigint"
+    got = sorted(((r.file_id, r.point_index, r.a, r.b, r.big, r.c, r.k) for r in u.collect()), key=lambda r: r[:2])
+    n = None
+    assert got == [(1, 0, 3, 4, 2**64 - 1, n, n), (2, 0, n, n, -big, n, n), (2, 1, n, n, big, n, n), (3, 0, n, n, n, big, 7.0), (4, 0, n, n, n, -big, 8.0), (5, 0, n, n, n, n, 0.5)]
