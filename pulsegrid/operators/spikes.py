@@ -4,13 +4,13 @@ A source is one point_source_id of one file, in order of point_index. For each s
 autoregression is fitted to a cleaned copy of the series; each reading is compared with what the readings before
 it and those after it predict. A reading that departs from both in the same direction is an additive outlier;
 one that departs from only one side is a level shift, which is ordinary. Outliers found are replaced by the
-prediction and the fit is repeated until none is new. Outliers in runs of more than three are an excursion of the
+prediction and the fit is repeated until the outliers stay the same or the rounds go in a circle. Outliers in runs of more than three are an excursion of the
 source, no spike. Runs of equal readings and values outside the physical limits are found apart and take no
 part in the fit.
 
 Sources are worked on in stretches of STRETCH readings that overlap by HALO, at every size alike; a source of
 fewer readings is one stretch. So no source, however long, is gathered in one task, and its normal behaviour is
-that of the stretch. Null and NaN readings are skipped, rows without file, source or id belong to no source,
+that of the stretch. Null and NaN readings are skipped, infinite ones are outside the limits, rows without file, source or id belong to no source,
 repeated rows of one id count once. A source of fewer than MIN_READINGS is tested for limits and runs only.
 """
 
@@ -108,7 +108,7 @@ def _predict(c: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return forth, back
 
 
-def outliers(v: np.ndarray, limit: float, floor: float, by_step: bool = False, rounds: int = 6) -> np.ndarray:
+def outliers(v: np.ndarray, limit: float, floor: float, by_step: bool = False) -> np.ndarray:
     """Which readings are additive outliers, alone or in runs of up to three."""
     n = len(v)
     flagged = np.zeros(n, bool)
@@ -127,7 +127,8 @@ def outliers(v: np.ndarray, limit: float, floor: float, by_step: bool = False, r
     scatter = max(1.4826 * np.median(np.abs(v - middle)), floor, step)
     # The first cleaned copy: whatever stands off from both sides gives way to their middle.
     c = np.where(apart > 5 * scatter, middle, v)
-    for _ in range(rounds):
+    met = set()
+    while True:
         beta = _autoregression(c)
         forth, back = _predict(c, beta)
         e = np.abs(c - forth)
@@ -144,9 +145,12 @@ def outliers(v: np.ndarray, limit: float, floor: float, by_step: bool = False, r
         now = stat > limit * wide
         new = np.where(now, np.where(np.isnan(forth) | np.isnan(back), middle, (forth + back) / 2), v)
         c = np.where(now, new, np.where((apart > 5 * wide) & ~now, c, v))
-        if (now == flagged).all():
+        same, flagged = (now == flagged).all(), now
+        # Rounds that come back to an earlier cleaned copy (to a thousandth of the least scatter) go round for ever.
+        state = np.round(c / floor, 3).tobytes()
+        if same or state in met:
             break
-        flagged = now
+        met.add(state)
     lengths = runs_of(flagged)
     return flagged & (lengths <= 3)
 
@@ -187,7 +191,7 @@ def _worker(fields: tuple[Field, ...]):
                 own, pid = part["own"][start:stop], part["point_id"][start:stop]
                 for k, field in enumerate(fields):
                     v = part[field.name][start:stop].astype("f8")
-                    ok = np.isfinite(v)
+                    ok = ~np.isnan(v)
                     if not ok.any():
                         continue
                     hit = np.flatnonzero(ok)[implausible(v[ok], field)]

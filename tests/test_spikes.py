@@ -83,3 +83,10 @@ def test_long_sources_in_stretches(spark, monkeypatch):
     got = {r.point_id for r in S.found(df, stretch=500).where("field = 'z'").collect()}
     alone = {int(i) for i in np.flatnonzero(S.implausible(z, S.FIELDS[0]))}
     assert alone == got and set(want) - {499, 500, 501, 999, 1000} <= got
+
+
+def test_infinite_readings(spark):
+    z = source(np.random.default_rng(7), 100, "slope")
+    z[20], z[40], z[60] = np.inf, -np.inf, np.nan
+    df = spark.createDataFrame(table(spark, {(1, 1): z}), SCHEMA)
+    assert sorted(map(tuple, S.found(df).collect())) == [(20, "z"), (40, "z")]
