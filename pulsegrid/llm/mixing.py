@@ -65,6 +65,22 @@ LARGE = 0.01
 GROUPS = 100_000
 
 
+def _exact(w: np.ndarray, have: np.ndarray, cap: np.ndarray, target: float) -> np.ndarray:
+    """One source's weights times the one factor, cut off at the caps, with which they make up the target."""
+    if target >= (cap * have).sum() * (1 - 1e-12):
+        return cap
+    use = np.flatnonzero((w > 0) & (have > 0))
+    if target <= 0 or not len(use):
+        return w
+    use = use[np.argsort(cap[use] / w[use], kind="stable")]  # the order in which cells reach their cap
+    at = cap[use] / w[use]
+    full = np.r_[0.0, np.cumsum(cap[use] * have[use])[:-1]]
+    free = np.cumsum((w[use] * have[use])[::-1])[::-1]
+    fits = np.flatnonzero((target - full) / free <= at)
+    factor = (target - full[fits[0]]) / free[fits[0]] if len(fits) else at[-1]
+    return np.minimum(w * factor, cap)
+
+
 def _rake(pdf: pd.DataFrame) -> pd.DataFrame:
     """Fits one plan's cells; adds weight, the expected uses of a document of the cell."""
     have = pdf["tokens"].to_numpy(float)
@@ -93,13 +109,17 @@ def _rake(pdf: pd.DataFrame) -> pd.DataFrame:
         for c in ("lang", "topic"):
             now = np.bincount(code[c], w * have, len(wanted[c]))
             w = np.minimum(w * np.divide(wanted[c], now, out=np.ones_like(now), where=now > 0)[code[c]], cap)
-        for _ in range(20):  # the source marginal comes last and holds; what a cap cuts off goes to its other cells
+        for _ in range(20):  # the source marginal comes last; what a cap cuts off goes to its other cells
             now = np.bincount(code["source"], w * have, n_src)
             w = np.minimum(w * np.divide(target, now, out=np.zeros(n_src), where=now > 0)[code["source"]], cap)
             if np.allclose(np.bincount(code["source"], w * have, n_src), target, rtol=1e-9):
                 break
         if np.allclose(old, w, rtol=1e-6):
             break
+    w = w.copy()
+    for k in np.flatnonzero(supply > 0):  # rounds may end before a marginal is met where caps bind; the source's has to hold
+        own = code["source"] == k
+        w[own] = _exact(w[own], have[own], cap[own], target[k])
     return pdf.assign(weight=w)
 
 

@@ -61,3 +61,21 @@ def test_empty(spark):
     calibrated = mixing.calibrate(plans(spark), mixing.cells_of(none))
     assert mixing.draw(none, calibrated).count() == 0 and mixing.report(mixing.draw(none, calibrated), calibrated).count() == 9
     assert mixing.calibrate(plans(spark).where("false"), mixing.cells_of(none)).count() == 0
+
+
+@pytest.mark.parametrize("filled", [0.3, 0.9, 0.999, 1.0, 1.5])
+def test_source_totals_are_exact(filled):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    rows = [(s, f"l{i}", f"t{j}", float(rng.integers(1, 10 ** int(rng.integers(1, 6))))) for s in ("a", "b") for i in range(15) for j in range(6)]
+    pdf = pd.DataFrame(rows, columns=["source", "lang", "topic", "tokens"])
+    have = pdf.groupby("source")["tokens"].sum()
+    # a is filled to the given part of its cap, b hardly.
+    want = {"a": 2 * have["a"] * filled, "b": 0.1 * have["b"]}
+    pdf = pdf.assign(max_repeats=2, size=sum(want.values()), share=pdf["source"].map(want) / sum(want.values()))
+    got = mixing._rake(pdf)
+    assert (got["weight"] <= 2).all() and (got["weight"] >= 0).all()
+    for s, n in (got["weight"] * got["tokens"]).groupby(got["source"]).sum().items():
+        assert n == pytest.approx(min(want[s], 2 * have[s]), rel=1e-9)
