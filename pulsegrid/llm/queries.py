@@ -96,8 +96,12 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.found(read(spark, sf_dir, "documents"))
 
 
+def p9_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.by_cue(sentences.fit(sentences.read_documents(read(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_percentiles, p1_counts, p5_found, p7_ids, p8_found, p8_mix, p8_report, p9_found)}
+    return {f.__name__: f for f in (p1_percentiles, p1_counts, p5_found, p7_ids, p8_found, p8_mix, p8_report, p9_found, p9_cues)}
 
 
 P5_SQL = """

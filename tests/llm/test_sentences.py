@@ -1,5 +1,6 @@
 import pytest
 from pulsegrid.llm import sentences as S
+from pyspark.sql import functions as F
 
 DIFF = "diff --git a/x b/x\n+ a. B\n"
 
@@ -65,3 +66,27 @@ def test_long_text(spark):
 def test_empty_tables(spark, n):
     df = spark.createDataFrame([(1, None)] * n, "doc_id long, text string")
     assert S.found(df).count() == 0
+
+
+def test_learns_without_word_lists(spark):
+    """With even chances for all cues, ends of blocks and words alone teach where sentences end in the documents."""
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    read = S.read_documents(docs)
+    listed = {tuple(r) for r in S.split(read, S.fit(read)).collect()}
+    learnt = {tuple(r) for r in S.split(read, S.fit(read, first=np.full(len(S.CUES), 0.5), prior=10.0)).collect()}
+    rule = S.fit(read, rounds=1).select("id", "cues", "n", F.transform("cues", lambda c: F.element_at(F.lit(S.FIRST.tolist()), c + 1)).alias("chance"))
+    ruled = {tuple(r) for r in S.split(read, rule).collect()}
+    assert len(listed & learnt) >= 0.97 * len(listed | learnt)
+    assert listed != ruled
+    assert len(listed & ruled) >= 0.98 * len(listed | ruled)
+
+
+def test_counts_meet_in_a_shuffle(spark, monkeypatch):
+    """Tables over the bound give the same units: hot keys are sent, others meet in a shuffle."""
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CASES)], "doc_id long, text string")
+    want = {tuple(r) for r in S.found(df).collect()}
+    monkeypatch.setattr(S, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(S, "HOT", 50)
+    assert {tuple(r) for r in S.found(df).collect()} == want
