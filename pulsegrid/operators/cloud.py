@@ -7,6 +7,7 @@ import json
 import warnings
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,38 +72,46 @@ def random_cloud(spark: SparkSession, n: int, pdrf: int, seed: int = 1) -> Point
         if name in ("x", "y", "z"):
             s = F.lit(h[f"scale_factor_{name}"])
             v = F.round(r / s) * s
-        elif name == "gps_time":
-            v = (F.col("id") + 1) * 1e-6
-        elif code == "f4":
-            v = r * 4000
-        elif name == "scan_angle":
-            v = F.floor(r * 256) - 128 if pdrf < 6 else F.floor(r * 20001) - 10000
+        elif code[0] == "f":
+            v = F.col("id") + r  # reals grow with the point, as times do
         else:
-            v = F.floor(r * {"u1": 2.0**8, "u2": 2.0**16, "u4": 2.0**32, "u8": 2.0**31}[code])
+            limits = np.iinfo(code)
+            span = min(float(limits.max) - float(limits.min) + 1.0, 2.0**53)  # doubles are whole up to there
+            v = F.floor(r * span) + F.lit(int(limits.min))
         columns.append(v.cast(kind).alias(name))
     return PointCloud(spark.range(0, n, 1, 4).select(F.col("id").alias("point_index"), *columns), h, no_records(spark))
 
 
-def convert_format(points: DataFrame, pdrf: int, keep_extra: bool = True) -> DataFrame:
-    """The columns of another format: zeros for those the points lack (with a warning), surplus ones dropped."""
+def convert_format(points: DataFrame, pdrf: int, keep_extra: bool = True, fill: float | None = None) -> DataFrame:
+    """The columns of another format: zeros for those the points lack (with a warning), surplus ones dropped.
+
+    Nulls in columns that the points have stay null, which a file can't hold, so writing them raises; fill is put in
+    their place where it is given (never for coordinates).
+    """
     wanted = formats.point_schema(pdrf, formats.base_length(pdrf)).fields
     missing = [f.name for f in wanted if f.name not in points.columns]
     if missing:
         warnings.warn(f"format {pdrf} gets zeros in {', '.join(missing)}", stacklevel=2)
-    columns = [F.coalesce(F.col(f.name), _zero(f)).cast(f.dataType).alias(f.name) if f.name in points.columns else _zero(f).alias(f.name) for f in wanted]
+    filled = lambda f: F.col(f.name) if fill is None or f.name in ("x", "y", "z") else F.coalesce(F.col(f.name), F.lit(fill).cast(f.dataType))
+    columns = [filled(f).cast(f.dataType).alias(f.name) if f.name in points.columns else _zero(f).alias(f.name) for f in wanted]
     extra = ["extradata"] if keep_extra and "extradata" in points.columns else []
     return points.select(*columns, *extra)
 
 
-def write_cloud(cloud: PointCloud, path: str, pdrf: int | None = None, minor: int | None = None, layout: str = "file", partitions: int | None = None) -> PointCloud:
+def write_cloud(
+    cloud: PointCloud, path: str, pdrf: int | None = None, minor: int | None = None, layout: str | None = None, partitions: int | None = None, ordered: bool = False, fill: float | None = None
+) -> PointCloud:
     """Writes the points in order of point_index and gives the cloud as written (read back lazily).
 
     Without pdrf that of the header is used. Count, bounds, returns and the places of records are computed anew;
-    the records' data go through the driver, as the header's do.
+    the records' data go through the driver, as the header's do. layout: file for paths in .las, else folder, unless
+    named. ordered: the points are in order of point_index already, so they are not sorted by range. fill: as in
+    convert_format.
     """
     las.register(cloud.points.sparkSession)
     pdrf = cloud.header["point_data_format"] if pdrf is None else pdrf
-    points = convert_format(cloud.points, pdrf)
+    points = convert_format(cloud.points, pdrf, fill=fill)
+    layout = layout or ("file" if path.lower().endswith(".las") else "folder")
     extra = 0
     if "extradata" in points.columns:
         widest = points.agg(F.max(F.length("extradata")).alias("w")).first()["w"]
@@ -112,8 +121,10 @@ def write_cloud(cloud: PointCloud, path: str, pdrf: int | None = None, minor: in
     options = {"pdrf": str(pdrf), "extra_bytes": str(extra), "layout": layout, "vlrs": json.dumps(given), "header": json.dumps({k: v for k, v in cloud.header.items() if k != "number_of_point_records" and not isinstance(v, list) or k == "project_id_guid4"}, default=int)}
     if minor is not None:
         options["minor"] = str(minor)
-    ordered = points.repartitionByRange(partitions, "point_index") if partitions else points.repartitionByRange("point_index")
-    ordered.sortWithinPartitions("point_index").drop("point_index").write.format("las").options(**options).mode("overwrite").save(path)
+    if not ordered:
+        points = points.repartitionByRange(partitions, "point_index") if partitions else points.repartitionByRange("point_index")
+        points = points.sortWithinPartitions("point_index")
+    points.drop("point_index").write.format("las").options(**options).mode("overwrite").save(path)
     return read_cloud(cloud.points.sparkSession, path) if layout == "file" else cloud
 
 

@@ -139,5 +139,6 @@ def winding_by_edges(points: DataFrame, ident: str, poly_x: Sequence[float], pol
 
 
 def circle(x: float, y: float, radius: float, vertices: int) -> tuple[np.ndarray, np.ndarray]:
-    a = np.deg2rad(np.arange(1, vertices + 1) / (vertices / 360.0))
-    return x + np.sin(a) * radius, y + np.cos(a) * radius
+    """A ring of vertices, clockwise, the last one at the top."""
+    turn = 2.0 * np.pi * np.arange(1, vertices + 1) / vertices
+    return x + radius * np.sin(turn), y + radius * np.cos(turn)

@@ -1,14 +1,17 @@
 """LAS files as a Spark data source: spark.read.format("las"), df.write.format("las").
 
-Reading options: path (a file, a folder or a pattern), part (points, header, vlr or check), columns (names divided by
-commas, only these are decoded), bbox (x0,y0,x1,y1: files whose header lies outside are not opened), split_bytes,
-pushdown (true: comparisons on x, y and z skip files by their header; needs
-spark.sql.python.filterPushdown.enabled). Records have a fixed length, so a file is cut into byte ranges without
-reading it and every range is decoded by itself. Header reading happens on the driver for schema and planning.
-
-Writing options: path, pdrf, minor, header (JSON of header fields), vlrs (JSON, data in base64), layout (file: one
-file, its parts written by the tasks and joined in order by the driver; folder: a whole file by each task, which
-scales with the data). Rows are written in their order within partitions, partitions in their order.
+Reading options: path (a file, a folder or a pattern; for reading also a URI that pyarrow.fs knows, such as hdfs or
+s3), part (points, header, vlr or check), columns (names divided by commas, only these are decoded), bbox
+(x0,y0,x1,y1: of files whose header lies outside only the header is read), split_bytes, pushdown (true: comparisons on
+x, y and z skip files by their header; needs spark.sql.python.filterPushdown.enabled). Records have a fixed length, so
+a file is cut into ranges by its size alone; planning lists names and sizes, headers are read by the tasks. Only
+finding a schema needs the headers of all files: load() does that in a Spark job, spark.read without a schema on the
+driver.
+
+Writing options: path (on a file system mounted everywhere), pdrf, minor, header (JSON of header fields), vlrs (JSON,
+data in base64), layout (file: one file, its parts written by the tasks and joined in order by the driver, the default
+for paths that end in .las; folder: a whole file by each task, the default for all others, which scales with the data).
+Rows are written in their order within partitions, partitions in their order.
 """
 
 from __future__ import annotations
@@ -26,30 +29,67 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from . import formats, header, vlr
 
 BATCH = 65_536
+SPLIT_BYTES = 64 * 2**20
 
 
-def files_of(path: str) -> list[str]:
-    if path.startswith("file:"):
-        path = "/" + path[5:].lstrip("/")
-    if os.path.isdir(path):
-        found = [p for p in glob.glob(os.path.join(glob.escape(path), "*")) if p.lower().endswith(".las")]
+def _remote(path: str):
+    """The file system of a URI and the path in it; None for a path of a mounted one."""
+    if "://" not in path or path.startswith("file:"):
+        return None
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
+
+
+def local(path: str) -> str:
+    return "/" + path[5:].lstrip("/") if path.startswith("file:") else path
+
+
+def sized_files(path: str) -> list[tuple[str, int]]:
+    """Names and sizes of the files that a path, a folder or a pattern stands for, in order of their names."""
+    remote = _remote(path)
+    if remote is not None:
+        from pyarrow import fs
+
+        system, inner = remote
+        head = path[: len(path) - len(inner.lstrip("/"))]
+        info = system.get_file_info(inner)
+        found = system.get_file_info(fs.FileSelector(inner)) if info.type == fs.FileType.Directory else [info]
+        out = [(head + f.path.lstrip("/"), f.size) for f in found if f.type == fs.FileType.File and (f.path == inner or f.path.lower().endswith(".las"))]
     else:
-        found = glob.glob(path) if glob.has_magic(path) else [path]
-    if not found:
+        path = local(path)
+        if os.path.isdir(path):
+            with os.scandir(path) as entries:
+                out = [(e.path, e.stat().st_size) for e in entries if e.name.lower().endswith(".las")]
+        else:
+            out = [(p, os.path.getsize(p)) for p in (glob.glob(path) if glob.has_magic(path) else [path]) if os.path.exists(p)]
+    if not out:
         raise FileNotFoundError(f"no LAS file at {path}")
-    return sorted(found)
+    return sorted(out)
+
+
+def files_of(path: str) -> list[str]:
+    return [p for p, _ in sized_files(path)]
+
+
+def opened(path: str):
+    remote = _remote(path)
+    return open(path, "rb") if remote is None else remote[0].open_input_file(remote[1])
 
 
 def read_header(path: str) -> tuple[dict, int]:
-    with open(path, "rb") as f:
-        return header.parse(f.read(header.SIZES[4])), os.path.getsize(path)
+    with opened(path) as f:
+        head = f.read(header.SIZES[4])
+        f.seek(0, 2)
+        return header.parse(head), f.tell()
 
 
 def checked(path: str) -> tuple[dict, bool]:
@@ -71,11 +111,24 @@ def all_checked(paths: list[str]) -> list[tuple[dict, bool]]:
 
 @dataclass
 class Slice(InputPartition):
-    path: str
-    header: dict = field(default_factory=dict)
-    degraded: bool = False
-    first: int = 0
-    count: int = 0
+    """Pieces of files: (path, which of how many pieces)."""
+
+    pieces: list[tuple[str, int, int]] = field(default_factory=list)
+
+
+def slices(files: list[tuple[str, int]], split: int) -> list[Slice]:
+    """Large files cut into pieces of about split bytes, small ones packed together, by size alone."""
+    out, room = [], 0
+    for path, size in files:
+        n = max(1, -(-size // split))
+        for k in range(n):
+            piece = min(split, size) if n == 1 else split
+            if not out or room < piece:
+                out.append(Slice())
+                room = split
+            room -= piece
+            out[-1].pieces.append((path, k, n))
+    return out
 
 
 def decode(raw: np.ndarray, h: dict, first: int, schema: T.StructType, path: str) -> pa.RecordBatch:
@@ -119,32 +172,26 @@ class PointReader(DataSourceReader):
         return any((op == ">=" and h[f"max_{a}"] < v) or (op == "<=" and h[f"min_{a}"] > v) for a, op, v in self.bounds)
 
     def partitions(self) -> list[Slice]:
-        split = int(self.options.get("split_bytes", 64 * 2**20))
-        out = []
-        paths = files_of(self.options["path"])
-        for path, (h, degraded) in zip(paths, all_checked(paths)):
-            if self._outside(h):
-                continue
-            n, step = int(h["number_of_point_records"]), max(1, split // h["point_data_record_length"])
-            out += [Slice(path, h, degraded, a, min(step, n - a)) for a in range(0, n, step)]
-        return out or [Slice("")]
+        return slices(sized_files(self.options["path"]), int(self.options.get("split_bytes", SPLIT_BYTES)))
 
     def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
-        if not part.path:
-            return
-        h = part.header
-        length = h["point_data_record_length"]
-        dtype = formats.record_dtype(99 if part.degraded else h["point_data_format"], length)
-        with open(part.path, "rb") as f:
-            f.seek(h["offset_to_point_data"] + part.first * length)
-            at, end = part.first, part.first + part.count
-            while at < end:
-                n = min(BATCH, end - at)
-                data = f.read(n * length)
-                if len(data) < n * length:
-                    raise OSError(f"{part.path} ends within point {at + len(data) // length}")
-                yield decode(np.frombuffer(data, dtype), h, at, self.schema, part.path)
-                at += n
+        heads: dict[str, tuple[dict, bool]] = {}
+        for path, k, n in part.pieces:
+            h, degraded = heads.get(path) or heads.setdefault(path, checked(path))
+            if self._outside(h):
+                continue
+            count, length = int(h["number_of_point_records"]), h["point_data_record_length"]
+            at, end = count * k // n, count * (k + 1) // n
+            dtype = formats.record_dtype(99 if degraded else h["point_data_format"], length)
+            with opened(path) as f:
+                f.seek(h["offset_to_point_data"] + at * length)
+                while at < end:
+                    rows = min(BATCH, end - at)
+                    data = f.read(rows * length)
+                    if len(data) < rows * length:
+                        raise OSError(f"{path} ends within point {at + len(data) // length}")
+                    yield decode(np.frombuffer(data, dtype), h, at, self.schema, path)
+                    at += rows
 
 
 class PushingReader(PointReader):
@@ -189,7 +236,7 @@ class MetaReader(DataSourceReader):
             if self.part == "header":
                 yield header.row(h, path)
                 continue
-            with open(path, "rb") as f:
+            with opened(path) as f:
                 f.seek(h["header_size"])
                 front = f.read(max(0, h["offset_to_point_data"] - h["header_size"]))
                 records = vlr.parse(front, 0, h["number_of_variable_records"], False)
@@ -236,6 +283,21 @@ def merged(stats: list[dict]) -> dict:
     }
 
 
+def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column in a row, and the length of each of its values (0 for null)."""
+    column = column.cast(pa.binary())
+    if not len(column):
+        return np.empty(0, np.uint8), np.empty(0, np.int32)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], np.diff(offsets)
+
+
+def decimal_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The lower 64 bits and the rest of whole decimals."""
+    words = np.frombuffer(column.buffers()[1], np.uint64).reshape(-1, 2)[column.offset : column.offset + len(column)]
+    return words[:, 0], words[:, 1]
+
+
 def encode(batch: pa.RecordBatch, h: dict, dtype: np.dtype) -> np.ndarray:
     """Arrow rows as records. Coordinates round half away from zero; what a field can't hold is an error."""
     raw = np.zeros(batch.num_rows, dtype)
@@ -247,11 +309,11 @@ def encode(batch: pa.RecordBatch, h: dict, dtype: np.dtype) -> np.ndarray:
         if column.null_count:
             raise ValueError(f"the column {name} has nulls, which a LAS file can't hold")
         if name == "extradata":
-            rows = column.to_pylist()
             width = dtype[name].itemsize
-            if any(len(x) != width for x in rows):
+            data, lengths = flat_bytes(column)
+            if (lengths != width).any():
                 raise ValueError(f"extradata must have {width} bytes in every row")
-            raw[name] = np.frombuffer(b"".join(rows), f"V{width}")
+            raw[name] = data.view(f"V{width}")
             continue
         if name in ("x", "y", "z"):
             v = (column.to_numpy(zero_copy_only=False).astype("f8") - h[f"{name}_offset"]) / h[f"scale_factor_{name}"]
@@ -259,7 +321,10 @@ def encode(batch: pa.RecordBatch, h: dict, dtype: np.dtype) -> np.ndarray:
             if not np.all(np.isfinite(v)) or (len(v) and (v.min() < -(2**31) or v.max() > 2**31 - 1)):
                 raise ValueError(f"the column {name} has values that the scale and offset can't hold")
         elif pa.types.is_decimal(column.type):
-            v = np.array([int(x) for x in column.to_pylist()], np.uint64)
+            low, high = decimal_words(column)
+            if (high != 0).any():
+                raise ValueError(f"the column {name} has values outside 0 to {2**64 - 1}")
+            v = low
         else:
             v = column.to_numpy(zero_copy_only=False)
         kind = dtype[name]
@@ -273,7 +338,8 @@ def encode(batch: pa.RecordBatch, h: dict, dtype: np.dtype) -> np.ndarray:
 
 class Writer(DataSourceArrowWriter):
     def __init__(self, options: dict, schema: T.StructType, overwrite: bool):
-        self.path, self.folder, self.overwrite = options["path"].removeprefix("file:"), options.get("layout", "file") == "folder", overwrite
+        self.path, self.overwrite = local(options["path"]), overwrite
+        self.folder = options.get("layout", "file" if self.path.lower().endswith(".las") else "folder") == "folder"
         names = {f.name for f in schema.fields}
         given = json.loads(options.get("header", "{}"))
         pdrf = int(options.get("pdrf", given.get("point_data_format", formats.optimal_format(names))))
@@ -363,6 +429,30 @@ class Writer(DataSourceArrowWriter):
             os.remove(p) if os.path.isfile(p) else shutil.rmtree(p)
 
 
+def schema_for(kinds: set[tuple[int, int]], many: bool, columns: str | None = None) -> T.StructType:
+    """The schema of files with these formats and record lengths; many: with the column file_name."""
+    wanted = [c.strip() for c in columns.split(",")] if columns else None
+    fields: dict[str, T.StructField] = {}
+    for pdrf, length in sorted(kinds):
+        for f in formats.point_schema(pdrf, length, wanted).fields:
+            fields.setdefault(f.name, f)
+    order = ["point_index", *[f[0] for k in (10, 5) for f in formats.layout(k)], "extradata"]
+    rows = sorted(fields.values(), key=lambda f: order.index(f.name))
+    return T.StructType(([T.StructField("file_name", T.StringType())] if many else []) + rows)
+
+
+def load(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """The points of many files, whose schema is found by a Spark job over their headers."""
+    register(spark)
+    reader = spark.read.format("las").options(**options)
+    c = F.col
+    heads = reader.option("part", "header").load(path).select(F.when(c("point_data_format") > 10, 99).otherwise(c("point_data_format")).alias("k"), c("point_data_record_length").alias("n"))
+    base = F.element_at(F.create_map(*[F.lit(x) for k in (*formats.SUPPORTED, 99) for x in (k, formats.base_length(k))]), c("k").cast("int"))
+    kinds = heads.groupBy("k").agg(F.max(c("n") - base).alias("more"), F.count(F.lit(1)).alias("files")).collect()  # one row for each format
+    schema = schema_for({(r["k"], formats.base_length(r["k"]) + max(r["more"], 0)) for r in kinds}, sum(r["files"] for r in kinds) > 1, options.get("columns"))
+    return spark.read.format("las").options(**options).schema(schema).load(path)
+
+
 class LasDataSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -372,20 +462,9 @@ class LasDataSource(DataSource):
         part = self.options.get("part", "points")
         if part != "points":
             return {"header": header.SCHEMA, "vlr": vlr.SCHEMA, "check": CHECK_SCHEMA}[part]
-        wanted = [c.strip() for c in self.options["columns"].split(",")] if self.options.get("columns") else None
         paths = files_of(self.options["path"])
-        seen: dict[tuple[int, int], None] = {}
-        for h, degraded in all_checked(paths):
-            seen[(99 if degraded else h["point_data_format"], h["point_data_record_length"])] = None
-        fields: dict[str, T.StructField] = {}
-        for pdrf, length in seen:
-            for f in formats.point_schema(pdrf, length, wanted).fields:
-                fields.setdefault(f.name, f)
-        order = ["point_index", *[f[0] for k in (10, 5) for f in formats.layout(k)], "extradata"]
-        rows = sorted(fields.values(), key=lambda f: order.index(f.name))
-        if len(paths) > 1:
-            rows.insert(0, T.StructField("file_name", T.StringType()))
-        return T.StructType(rows)
+        kinds = {(99 if degraded else h["point_data_format"], h["point_data_record_length"]) for h, degraded in all_checked(paths)}
+        return schema_for(kinds, len(paths) > 1, self.options.get("columns"))
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         part = self.options.get("part", "points")

@@ -186,4 +186,35 @@ def test_stream(spark, tmp_path):
         assert spark.sql("select * from las_in").count() == 100
     finally:
         q.stop()
-    assert ingest.arrived(str(tmp_path / "none")) == []
+    assert ingest.present(str(tmp_path / "none")) == []
+
+
+@pytest.mark.parametrize("log", [False, True])
+def test_stream_reads_each_file_once(spark, tmp_path, log):
+    """Late files of older time, removed files and a restart from the checkpoint."""
+    src = tmp_path / "in"
+    src.mkdir()
+
+    def run(target):
+        reader = spark.readStream.format("las").options(**({"log": str(tmp_path / "log")} if log else {}))
+        q = reader.load(str(src)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).start()
+        try:
+            q.processAllAvailable()
+            assert spark.read.parquet(str(tmp_path / "out")).count() == target
+            if target == 110:
+                return
+            C.write_cloud(C.random_cloud(spark, 30, 1), str(src / "c.las"))
+            os.utime(src / "c.las", (1, 1))
+            q.processAllAvailable()
+            assert spark.read.parquet(str(tmp_path / "out")).count() == target + 30
+            os.remove(src / "a.las")
+            q.processAllAvailable()
+            assert spark.read.parquet(str(tmp_path / "out")).count() == target + 30
+        finally:
+            q.stop()
+
+    C.write_cloud(C.random_cloud(spark, 10, 1), str(src / "a.las"))
+    C.write_cloud(C.random_cloud(spark, 20, 1), str(src / "b.las"))
+    run(30)
+    C.write_cloud(C.random_cloud(spark, 50, 1), str(src / "aa.las"))
+    run(110)
