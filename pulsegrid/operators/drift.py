@@ -19,12 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.codecs import scan_angle_degrees
-from ..session import checkpoint
+from ..session import checkpoint, fitting
 from ..sources.formats import EXTRA_TYPES, POINT_FIELDS, extra_bytes_size, fields_of
+from ..sources.las import flat_bytes
 from .extrabytes import OFFSET, SCALE, ExtraField, from_raw
 
 DESCRIPTOR = 192
 BLOCK = 4096
+#: File ids of one part of a day.
+FILE_RANGE = 65_536
 VERSION_FIELDS = {
     3: ["start_of_waveform_data"],
     4: ["start_of_extended_variable_length_record", "number_of_extended_variable_length_record", "legacy_number_of_point_records", "legacy_number_of_points_by_return"],
@@ -66,14 +69,15 @@ def _first_deliveries(header: DataFrame, *more: str) -> DataFrame:
 def numbered_files(header: DataFrame) -> DataFrame:
     """(series, file_id, ord, is_last, pdrf, minor): each file once, numbered from 1 in its series.
 
-    Numbers come from the place within a day plus the files of earlier days, so that no window holds a series.
+    Numbers come from the place within a part of a day plus the files of earlier parts, so that no window holds a
+    series or a day (files without a date are all of one day): parts are ranges of FILE_RANGE file ids.
     """
-    f = _first_deliveries(header).select("file_id", "series", F.coalesce("year", F.lit(0)).alias("year"), F.coalesce("day", F.lit(0)).alias("day"), "pdrf", "minor")
-    days = f.groupBy("series", "year", "day").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("series").orderBy("year", "day")
-    days = days.select("series", "year", "day", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("series")).alias("files"))
-    f = f.withColumn("place", F.row_number().over(Window.partitionBy("series", "year", "day").orderBy("file_id")))
-    on = [f[c].eqNullSafe(days[c]) for c in ("series", "year", "day")]
+    f = _first_deliveries(header).select("file_id", "series", F.coalesce("year", F.lit(0)).alias("year"), F.coalesce("day", F.lit(0)).alias("day"), "pdrf", "minor").withColumn("part", F.floor(F.col("file_id") / FILE_RANGE))
+    days = f.groupBy("series", "year", "day", "part").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("series").orderBy("year", "day", "part")
+    days = days.select("series", "year", "day", "part", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("series")).alias("files"))
+    f = f.withColumn("place", F.row_number().over(Window.partitionBy("series", "year", "day", "part").orderBy("file_id")))
+    on = [f[c].eqNullSafe(days[c]) for c in ("series", "year", "day", "part")]
     return f.join(days, on).select(f["series"], "file_id", (F.col("before") + F.col("place")).alias("ord"), (F.col("before") + F.col("place") == F.col("files")).alias("is_last"), "pdrf", "minor")
 
 
@@ -179,36 +183,44 @@ def _scaling(scale: str, offset: str) -> ExtraField:
     return ExtraField("", options=SCALE * bool(scale) | OFFSET * bool(offset), scale=real(scale) if scale else 1.0, offset=real(offset) if offset else 0.0)
 
 
+def _binary(rows: np.ndarray, n: int, places: np.ndarray) -> pa.Array:
+    """A binary array of n values with the bytes of rows at places, null elsewhere."""
+    lengths = np.zeros(n + 1, np.int32)
+    lengths[places + 1] = rows.shape[1]
+    seen = np.zeros(n, bool)
+    seen[places] = True
+    bits = pa.py_buffer(np.packbits(seen, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), n, [bits, pa.py_buffer(np.cumsum(lengths, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
 def _decoder(columns: list[tuple[str, str]], point_columns: list[str]):
     place = {name: i for i, (name, _) in enumerate(columns)}
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            data = batch.column(batch.schema.get_field_index("_extra"))
-            lengths = pa.compute.fill_null(pa.compute.binary_length(data), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            data, lengths = flat_bytes(batch.column(batch.schema.get_field_index("_extra")))
+            starts = np.cumsum(lengths, dtype=np.int64) - lengths
             layouts = batch.column(batch.schema.get_field_index("_layout")).dictionary_encode()
             codes = pa.compute.fill_null(layouts.indices, -1).to_numpy(zero_copy_only=False)
-            outs = [np.zeros(n, "f8" if k == "double" else "i8") if k != "binary" else np.full(n, None, object) for _, k in columns]
+            outs = [np.zeros(n, "f8" if k == "double" else "i8") if k != "binary" else None for _, k in columns]
+            opaque: dict[int, list[pa.Array]] = {}
             seen = [np.zeros(n, bool) for _ in columns]
             unsigned = {j: np.zeros(n, bool) for j, (_, k) in enumerate(columns) if k == "decimal"}
-            raw = None
             for code, layout in enumerate(layouts.dictionary.to_pylist()):
                 parts = [p.split(":") for p in layout.split(";")]
                 width = sum(int(p[2]) for p in parts)
                 rows = np.flatnonzero((codes == code) & (lengths == width))
                 if not len(rows) or not width:
                     continue
-                raw = data.to_pylist() if raw is None else raw
-                block = np.frombuffer(b"".join([raw[i] for i in rows.tolist()]), np.uint8).reshape(len(rows), width)
+                block = data[starts[rows][:, None] + np.arange(width)]
                 at = 0
                 for field, kind, size, scale, offset in parts:
                     j, size = place[field], int(size)
                     piece = np.ascontiguousarray(block[:, at : at + size])
                     at += size
                     if columns[j][1] == "binary":
-                        for i, row in zip(rows.tolist(), piece):
-                            outs[j][i] = row.tobytes()
+                        opaque.setdefault(j, []).append(_binary(piece, n, rows))
                     elif kind != "-":
                         value = from_raw(piece.view("<" + kind).ravel(), _scaling(scale, offset))
                         outs[j][rows] = value if columns[j][1] == "double" else value.astype("i8")
@@ -224,19 +236,42 @@ def _decoder(columns: list[tuple[str, str]], point_columns: list[str]):
                     whole = pa.decimal128(20, 0)
                     both = pa.compute.if_else(pa.array(unsigned[j]), pa.array(out.view("u8")).cast(whole), pa.array(out).cast(whole))
                     arrays.append(pa.compute.if_else(pa.array(ok), both, pa.scalar(None, whole)))
-                    continue
-                arrays.append(pa.array(out, {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}[kind], mask=~ok))
+                elif kind == "binary":
+                    arrays.append(pa.compute.coalesce(*opaque[j]) if j in opaque else pa.nulls(n, pa.binary()))
+                else:
+                    arrays.append(pa.array(out, {"long": pa.int64(), "double": pa.float64()}[kind], mask=~ok))
             yield pa.RecordBatch.from_arrays(arrays, [*point_columns, *[f"{name}_x" if name in point_columns else name for name, _ in columns]])
 
     return decode
 
 
+#: Files up to which their layouts and header fields are sent to all tasks; a layout takes some hundred bytes.
+LAYOUTS = 100_000
+#: Points of one file that one task reads at least; further ones may go elsewhere.
+FILE_BLOCK = 65_536
+
+
+def first_points(points: DataFrame) -> DataFrame:
+    """Repeated rows of one point_id once, that of the smallest load_id (nulls last); rows without point_id all.
+
+    Copies share file and point_index, so one shuffle by file and block of points brings them together, and neither a
+    long file nor a repeated id is a hot key.
+    """
+    p = points.withColumn("_block", F.floor(F.coalesce("point_index", "point_id") / FILE_BLOCK)).repartition("file_id", "_block")
+    # Rows without id are groups of their own.
+    p = p.withColumn("_own", F.when(F.col("point_id").isNull(), F.monotonically_increasing_id()))
+    w = Window.partitionBy("file_id", "_block", "point_id", "_own").orderBy(F.col("load_id").asc_nulls_last())
+    return p.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_block", "_own", "_r")
+
+
 def unified_points(points: DataFrame, vlr: DataFrame, header: DataFrame | None = None) -> DataFrame:
     """All points (repeated rows of one point_id once, each without one) in one table, a column for each field of any file.
 
-    Fields that a file lacks are null, extra bytes become typed columns under the names of aliases(); a field
+    Of repeated rows that with the smallest load_id stays; copies share file and place (point_index). Fields that a
+    file lacks are null, extra bytes become typed columns under the names of aliases(); a field
     named like a point column gets the suffix _x. Rows whose extradata hasn't the declared length keep null
-    extra fields (mismatches() reports their files). Extra bytes come with scale and offset applied. scan_angle is in
+    extra fields (mismatches() reports their files). Extra bytes come with scale and offset applied; whole numbers are
+    kept to the last digit. scan_angle is in
     degrees: whole ones below format 6, else units of 0.006. Of a file without a usable header the format is told by
     bits2, which begins with format 6. With header the fields that its version gives a file (VERSION_FIELDS) are
     columns too.
@@ -250,13 +285,14 @@ def unified_points(points: DataFrame, vlr: DataFrame, header: DataFrame | None =
     layout = descriptors(vlr, scaling=True).join(names, "name").withColumn("p", F.struct("pos", F.concat_ws(":", "field", code, "size", "scale", "offset").alias("s")))
     layout = layout.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["s"]), ";").alias("_layout"))
     base = [c for c in points.columns if c in POINT_FIELDS or c in ("point_id", "file_id", "point_index", "load_id")]
-    p = points.where("point_id is not null").dropDuplicates(["point_id"]).unionByName(points.where("point_id is null"))
     of_file = layout
     if header is not None:
         since = {n: m for m, names in VERSION_FIELDS.items() for n in names if n in header.columns}
         files = _first_deliveries(header, *since).select("file_id", "pdrf", *[F.when(F.col("minor") >= m, F.col(n)).alias(n) for n, m in since.items()])
         of_file, base = layout.join(files, "file_id", "full"), [*base, *since]
-    p = p.join(of_file, "file_id", "left")
+    # Only files that have points are met; header tables hold many more.
+    of_file = checkpoint(of_file.join(points.select("file_id").distinct(), "file_id", "left_semi"))
+    p = first_points(points.select(*[c for c in points.columns if c in base or c == "extradata"])).join(fitting(of_file, LAYOUTS), "file_id", "left")
     if "scan_angle" in base:
         known = [F.col("pdrf")] if header is not None else []
         p = p.withColumn("scan_angle", scan_angle_degrees("scan_angle", F.coalesce(*known, F.when(F.col("bits2").isNotNull(), 6).otherwise(0))))

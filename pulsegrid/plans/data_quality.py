@@ -55,12 +55,18 @@ def p6_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.unified_points(read(spark, sf_dir, "lasdata"), read(spark, sf_dir, "vlr"), read(spark, sf_dir, "header"))
 
 
+def p6_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the one table can be stated in SQL: each point once, scan angles in one unit, fields of the versions."""
+    names = [n for group in drift.VERSION_FIELDS.values() for n in group]
+    return p6_unified(spark, sf_dir).select("point_id", "file_id", "point_index", "load_id", "intensity", "scan_angle", *names[:4])
+
+
 def p6_lifespans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.lifespans(read(spark, sf_dir, "header"), read(spark, sf_dir, "vlr"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_profile, p2_expressions, p3_found, p4_found, p6_found, p6_unified, p6_lifespans)}
+    return {f.__name__: f for f in (p2_found, p2_profile, p2_expressions, p3_found, p4_found, p6_found, p6_unified, p6_points, p6_lifespans)}
 
 
 P2_SQL = """
@@ -114,7 +120,7 @@ union all select 'region', poly_id, id from wind where w <> 0
 _FORMAT_ROWS = ", ".join(f"({k}, '{n}', '{t}')" for k in formats.SUPPORTED for n, t in formats.fields_of(k))
 _VERSION_ROWS = ", ".join(f"({m}, '{n}')" for m, names in drift.VERSION_FIELDS.items() for n in names)
 _TYPE_ROWS = ", ".join(f"({k}, '{n}', {size})" for k, (n, size) in formats.EXTRA_TYPES.items())
-P6_SQL = f"""
+_FIELDS_SQL = f"""
 with h as (select distinct file_id, project_id_guid1 as s, coalesce(file_creation_year, 0) as y, coalesce(file_creation_day_of_year, 0) as d, point_data_format as pdrf, version_minor as minor
            from header where point_data_format between 0 and 10 and version_minor between 0 and 4),
 f as (select *, row_number() over (partition by s order by y, d, file_id) as ord from h),
@@ -129,7 +135,9 @@ e as (select file_id, regexp_replace(t.name, '[^a-z0-9_]', '_', 'g') as name, ca
       from t left join k using (code) qualify row_number() over (partition by file_id, regexp_replace(t.name, '[^a-z0-9_]', '_', 'g') order by is_extended, idx, i) = 1),
 a as (select s, ord, file_id, b.name, b.type, '' as description from f join b using (pdrf)
       union all select s, ord, file_id, v.name, 'header', '' from f join v on f.minor >= v.minor
-      union all select s, ord, f.file_id, e.name, e.type, e.description from f join e using (file_id)),
+      union all select s, ord, f.file_id, e.name, e.type, e.description from f join e using (file_id))
+"""
+P6_SQL = f"""{_FIELDS_SQL},
 new as (select c.*, row_number() over (partition by c.s, c.ord, c.description order by c.name) as n from a c left join a p on p.s is not distinct from c.s and p.ord = c.ord - 1 and p.name = c.name where c.ord > 1 and p.name is null),
 gone as (select p.s, p.ord + 1 as ord, q.file_id, p.name, p.type, p.description, row_number() over (partition by p.s, p.ord, p.description order by p.name) as n
          from a p join f q on q.s is not distinct from p.s and q.ord = p.ord + 1 left join a c on c.s is not distinct from p.s and c.ord = p.ord + 1 and c.name = p.name where c.name is null),
@@ -143,5 +151,23 @@ union all select p.file_id, 'extradata', 'mismatch' from (select file_id, min(co
 """
 
 
+P6_POINTS_SQL = """
+with h as (select file_id, point_data_format as pdrf, version_minor as minor, start_of_waveform_data as w, start_of_extended_variable_length_record as e, number_of_extended_variable_length_record as n, legacy_number_of_point_records as l
+           from header where file_id is not null qualify row_number() over (partition by file_id order by coalesce(load_id, 2147483647), received_at nulls first) = 1),
+f as (select * from h where pdrf between 0 and 10 and minor between 0 and 4),
+p as (select * from lasdata where point_id is not null qualify row_number() over (partition by point_id order by load_id nulls last) = 1 union all select * from lasdata where point_id is null)
+select p.point_id, p.file_id, p.point_index, p.load_id, p.intensity,
+  case when coalesce(f.pdrf, case when p.bits2 is not null then 6 else 0 end) >= 6 then cast(p.scan_angle as double) * 6e-3 else cast(p.scan_angle as double) end as scan_angle,
+  case when f.minor >= 3 then w end as start_of_waveform_data, case when f.minor >= 4 then e end as start_of_extended_variable_length_record,
+  case when f.minor >= 4 then n end as number_of_extended_variable_length_record, case when f.minor >= 4 then l end as legacy_number_of_point_records
+from p left join f using (file_id)
+"""
+
+P6_LIFESPANS_SQL = f"""{_FIELDS_SQL},
+runs as (select *, ord - row_number() over (partition by s, name, type order by ord) as island from a)
+select s as series, name as field, type, min(ord) as first_ord, max(ord) as last_ord, min_by(file_id, ord) as first_file, max_by(file_id, ord) as last_file, count(*) as files from runs group by s, name, type, island
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL, "p3_found": P3_SQL, "p6_found": P6_SQL}
+    return {"p2_found": P2_SQL, "p3_found": P3_SQL, "p6_found": P6_SQL, "p6_points": P6_POINTS_SQL, "p6_lifespans": P6_LIFESPANS_SQL}

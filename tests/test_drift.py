@@ -126,3 +126,18 @@ def test_unified_keeps_all(spark):
     got = sorted(((r.file_id, r.point_index, r.a, r.b, r.big, r.c, r.k) for r in u.collect()), key=lambda r: r[:2])
     n = None
     assert got == [(1, 0, 3, 4, 2**64 - 1, n, n), (2, 0, n, n, -big, n, n), (2, 1, n, n, big, n, n), (3, 0, n, n, n, big, 7.0), (4, 0, n, n, n, -big, 8.0), (5, 0, n, n, n, n, 0.5)]
+
+
+def test_unified_keeps_the_first_load(spark):
+    """Of copies that of the smallest load stays, whatever the order of rows."""
+    p = spark.createDataFrame([(1, 1, 0, 3), (1, 1, 0, None), (1, 1, 0, 2), (2, 1, 1, None)], "point_id long, file_id long, point_index long, load_id int").withColumn("extradata", F.lit(None).cast("binary"))
+    v = spark.createDataFrame([], VLR)
+    assert sorted((r.point_id, r.load_id) for r in D.unified_points(p, v).collect()) == [(1, 2), (2, None)]
+
+
+def test_days_in_parts(spark, monkeypatch):
+    """Files of one day are numbered alike however its parts are cut."""
+    h, _, _ = tables(spark)
+    want = sorted(map(tuple, D.numbered_files(h).collect()), key=repr)
+    monkeypatch.setattr(D, "FILE_RANGE", 1)
+    assert sorted(map(tuple, D.numbered_files(h).collect()), key=repr) == want
