@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs as K
-from ..operators import cloud, extrabytes, records, spatial, stats
+from ..operators import cloud, extrabytes, proximity, records, spatial, stats
 from ..session import checkpoint, read
 from ..sources import formats, las
 from ..sources import header as headers
@@ -409,10 +409,11 @@ def _(spark, d):
     return points(spark, d).agg(F.count_if(spatial.is_inside("x", "y", RING_X, RING_Y)).alias("inside"), F.count(lit(1)).alias("points"))
 
 
-@query("pip_all_equal", on_points("select true as all_equal from points limit 1"))
+@query("pip_all_equal", on_points(f", {_IDS}, {_edges_sql({0: (RING_X, RING_Y)})}, w as (select rid, {_WIND} as wind, {_EDGE} as edge, {_CAST} as ray from q cross join e group by rid) select count(*) filter (wind <> edge) as wind_edge, count(*) filter (wind <> ray) as wind_ray, count(*) filter (wind) as inside, bool_and(wind = ray) as all_equal from w"))
 def _(spark, d):
-    a, b = spatial.is_inside("x", "y", RING_X, RING_Y), spatial.is_inside("x", "y", RING_X[::-1], RING_Y[::-1])
-    return points(spark, d).agg(F.bool_and(a == b).alias("all_equal"))
+    """How many points the three algorithms judge differently; the ring's direction changes none."""
+    a, b, r = (spatial.is_inside("x", "y", RING_X[::s], RING_Y[::s], k) for k, s in ((0, 1), (1, 1), (2, -1)))
+    return points(spark, d).select(a.alias("a"), b.alias("b"), r.alias("r")).agg(F.count_if(c("a") != c("b")).alias("wind_edge"), F.count_if(c("a") != c("r")).alias("wind_ray"), F.count_if("a").alias("inside"), F.bool_and(c("a") == c("r")).alias("all_equal"))
 
 
 _MULTI = f", {_IDS}, {_edges_sql(POLYGONS)}, w as (select rid, any_value(xi) as xi, any_value(yi) as yi, poly_id, {_WIND} as hit from q cross join e group by rid, poly_id)"
@@ -433,6 +434,50 @@ def _(spark, d):
     return points(spark, d).select(F.explode(spatial.containing("x", "y", POLYGONS)).alias("poly_id")).groupBy("poly_id").agg(F.count(lit(1)).alias("inside"))
 
 
+def _table_of(spark: SparkSession, rings: dict[int, tuple[list[float], list[float]]]) -> DataFrame:
+    return spark.createDataFrame([(k, i, x, y) for k, (xs, ys) in rings.items() for i, (x, y) in enumerate(zip(xs, ys))], "poly_id long, seq int, x double, y double")
+
+
+def _pip_table(spark: SparkSession, d: str, algorithm: int) -> DataFrame:
+    """Pairs of a table of polygons and the places inside, without Python."""
+    p = points(spark, d).withColumn("id", c("xi") * 10_000 + c("yi"))
+    found = proximity.points_in_polygons(p, _table_of(spark, POLYGONS), "id", algorithm=algorithm)
+    return found.select("poly_id", F.floor(c("id") / 10_000).cast("long").alias("xi"), (c("id") % 10_000).alias("yi"))
+
+
+for _name, _algorithm, _how in (("winding", 0, _WIND), ("edges", 1, _EDGE), ("raycast", 2, _CAST), ("unknown_algorithm", 7, _WIND)):
+    query(f"pip_table_{_name}", on_points(f", q as (select distinct xi, yi, x, y from points), {_edges_sql(POLYGONS)} select poly_id, xi, yi from q cross join e group by poly_id, xi, yi having {_how}"))(
+        lambda s, d, a=_algorithm: _pip_table(s, d, a)
+    )
+
+
+
+@query("pip_single_precision", on_points(f", {_IDS}, {_edges_sql({0: (RING_X, RING_Y)})}, f as (select rid, xi, yi, cast(x as float) as x, cast(y as float) as y, cast(x1 as float) as x1, cast(y1 as float) as y1, cast(x2 as float) as x2, cast(y2 as float) as y2 from q cross join e), w as (select rid, any_value(xi) as xi, any_value(yi) as yi, {_WIND} as hit from f group by rid) select xi, yi from w where hit"))
+def _(spark, d):
+    return points(spark, d).where(spatial.is_inside("x", "y", RING_X, RING_Y, single=True)).select("xi", "yi")
+
+
+@query("pip_unknown_algorithm", _pip_sql(_WIND))
+def _(spark, d):
+    return spatial.select_inside(points(spark, d), RING_X, RING_Y, algorithm=9).select("xi", "yi")
+
+
+@query("near_on_earth", """
+with p as (select c_custkey as id, (c_custkey * 7919 % 36000) / 1e2 - 18e1 as lon, (c_custkey * 104729 % 18000) / 1e2 - 9e1 as lat from customer)
+select a.id as id_a, b.id as id_b from p a join p b on a.id < b.id and abs(a.lat - b.lat) <= 5e-1
+where 2 * 6371008.8e0 * asin(least(sqrt(pow(sin(radians(a.lat - b.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(a.lon - b.lon) / 2), 2)), 1e0)) <= 5e4""")
+def _(spark, d):
+    p = read(spark, d, "customer").select(c("c_custkey").alias("id"), ((c("c_custkey") * 7919 % 36000) / 100.0 - 180.0).alias("lon"), ((c("c_custkey") * 104729 % 18000) / 100.0 - 90.0).alias("lat"))
+    return proximity.near_on_earth(p, 50_000.0)
+
+
+@query("circle_vertices", "select cast(range as integer) as k, cast(round((45e3 + 2e4 * sin(2 * pi() * range / 64)) * 1e3) as bigint) as x_mm, cast(round((25e0 + 2e1 * cos(2 * pi() * range / 64)) * 1e3) as bigint) as y_mm from range(1, 65)")
+def _(spark, d):
+    xs, ys = spatial.circle(45000.0, 25.0, 20000.0, 64)
+    _, ys = spatial.circle(45000.0, 25.0, 20.0, 64)
+    return spark.createDataFrame([(k + 1, round(float(x) * 1000), round(float(y) * 1000)) for k, (x, y) in enumerate(zip(xs, ys))], "k int, x_mm long, y_mm long")
+
+
 # Files ------------------------------------------------------------------------------------------------------------
 
 

@@ -87,3 +87,24 @@ def test_near_on_earth(spark, hot):
     got = P.near_on_earth(df, 500_000.0, hot=hot).collect()
     assert sorted(map(tuple, got)) == sorted(want) and {(400, 401), (402, 403), (402, 404)} <= want
     assert P.near_on_earth(df.where("false"), 10.0).count() == 0
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+@pytest.mark.parametrize("algorithm", [0, 1, 2, 5])
+def test_regions_by_all_algorithms(spark, monkeypatch, limit, algorithm):
+    """A polygon that holds a third of the points and small ones, with and without broadcasting, points on edges and
+    vertices and repeated rows included."""
+    from pulsegrid.operators import spatial
+
+    monkeypatch.setattr(P, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(P, "HOT_POLYGON", 50)
+    rng = np.random.default_rng(4)
+    n = 600
+    x, y = rng.integers(0, 60, n).astype(float), rng.integers(0, 60, n).astype(float)
+    rings = {1: ([0.0, 35, 35, 0], [0.0, 0, 35, 35]), 2: ([40.0, 50, 45] * 2, [40.0, 40, 55] * 2), 3: ([5.0, 20, 5, 20], [50.0, 50, 58, 58]), 4: ([10.0, 30, 50, 30], [30.0, 10, 30, 50])}
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))]
+    p = spark.createDataFrame(rows + rows[:50], "point_id long, x double, y double")
+    g = spark.createDataFrame([(k, i, float(a), float(b)) for k, (xs, ys) in rings.items() for i, (a, b) in enumerate(zip(xs, ys))], "poly_id long, seq int, x double, y double")
+    got = sorted(map(tuple, P.points_in_polygons(p, g, algorithm=algorithm).collect()))
+    want = sorted((k, int(i)) for k, (xs, ys) in rings.items() for i in np.flatnonzero(spatial.inside(x, y, np.array(xs), np.array(ys), algorithm)))
+    assert got == want
