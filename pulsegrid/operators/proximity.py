@@ -6,8 +6,8 @@ and the exact distance decides. Cells that hold very many points are split into
 with each.
 
 Regions: polygons are hashed to cells of a size that fits them (one grid for every second power of two in use), points
-to the cell of each grid in use; candidates are joined with the polygon's edges by (polygon, band of y), a band being
-a 64th of the polygon's cell, and what the edges say is summed. No polygon is gathered in one row and no edge list is
+to the cell of each grid in use; candidates are joined with the polygon's edges by (polygon, band of y), bands
+being as many as the polygon has pairs of edges, and what the edges say is summed. No polygon is gathered in one row and no edge list is
 looped over. Where cells or edges are too many to be sent to all tasks both joins shuffle, crowded cells and polygons
 in salted parts.
 
@@ -34,7 +34,8 @@ EARTH_M = 6_371_008.8
 BROADCAST_ROWS = 200_000
 #: Candidates of one polygon that go to one part, where edges are not broadcast.
 HOT_POLYGON = 1_000_000
-BANDS = 64
+#: Most bands of a polygon.
+BANDS = 1024
 
 
 def located(points: DataFrame, ident: str = "point_id", x: str = "x", y: str = "y") -> DataFrame:
@@ -187,10 +188,12 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, ident: str = "poi
 
 def _inside(located_points: DataFrame, polygons: DataFrame, algorithm: int = WINDING) -> DataFrame:
     edges = checkpoint(polygon_edges(polygons))  # read by four jobs
-    boxes = edges.groupBy("poly_id").agg(F.min("x1").alias("x0"), F.max("x1").alias("x9"), F.min("y1").alias("y0"), F.max("y1").alias("y9"))
+    boxes = edges.groupBy("poly_id").agg(F.min("x1").alias("x0"), F.max("x1").alias("x9"), F.min("y1").alias("y0"), F.max("y1").alias("y9"), F.count(F.lit(1)).alias("n"))
     # Level k has cells of 2**k mm; a box meets at most two cells in either direction. Every second level is in use.
     level = F.greatest(F.lit(10), F.ceil(F.log2(F.greatest(F.col("x9") - F.col("x0"), F.col("y9") - F.col("y0"), F.lit(1)))).cast("int"))
-    boxes = boxes.withColumn("level", level + level % 2)
+    # About two edges of a band cross it and two more begin or end in it, whatever the polygon's size and detail.
+    bands = F.least(F.greatest(F.ceil(F.col("n") / 2), F.lit(4)), F.lit(BANDS))
+    boxes = boxes.withColumn("level", level + level % 2).withColumn("height", (F.col("y9") - F.col("y0") + 1) / bands).drop("n")
     levels = sorted(r[0] for r in boxes.select("level").distinct().collect())  # at most 32 numbers
     if not levels:
         return located_points.select(F.lit(None).cast("long").alias("poly_id"), "id").where("false")
@@ -199,12 +202,12 @@ def _inside(located_points: DataFrame, polygons: DataFrame, algorithm: int = WIN
         boxes.withColumn("cx", F.explode(F.sequence(at("x0", F.col("level")), at("x9", F.col("level")))))
         .withColumn("cy", F.explode(F.sequence(at("y0", F.col("level")), at("y9", F.col("level")))))
     )
-    height = F.pow(F.lit(2.0), F.col("level")) / BANDS
-    banded = edges.join(boxes.select("poly_id", "level"), "poly_id")
+    band = lambda y: F.floor((y - F.col("y0")) / F.col("height")).cast("int")
+    banded = edges.join(boxes.select("poly_id", "y0", "height"), "poly_id")
     top = F.greatest("y1", "y2")
     if algorithm != WINDING_EDGES:  # without edges a horizontal edge and the upper end of an edge say nothing
         banded, top = banded.where("y1 <> y2"), top - 1
-    banded = banded.withColumn("band", F.explode(F.sequence(F.floor(F.least("y1", "y2") / height).cast("long"), F.floor(top / height).cast("long")))).drop("level")
+    banded = banded.withColumn("band", F.explode(F.sequence(band(F.least("y1", "y2")), band(top)))).drop("y0", "height")
 
     p = located_points.withColumn("level", F.explode(F.array(*[F.lit(k) for k in levels])))
     p = p.withColumns({"cx": at("x", F.col("level")), "cy": at("y", F.col("level"))})
@@ -218,7 +221,7 @@ def _inside(located_points: DataFrame, polygons: DataFrame, algorithm: int = WIN
         counts = checkpoint(p.join(cover.select("level", "cx", "cy").distinct(), ["level", "cx", "cy"], "left_semi").groupBy("level", "cx", "cy").agg(F.count(F.lit(1)).alias("n")))
         near = _met(p, cover, ["level", "cx", "cy"], counts.select("level", "cx", "cy", F.ceil(F.col("n") / HOT_POLYGON).cast("int").alias("parts")).where("parts > 1")).where(in_box)
         parts = cover.join(counts, ["level", "cx", "cy"]).groupBy("poly_id").agg(F.ceil(F.sum("n") / HOT_POLYGON).cast("int").alias("parts")).where("parts > 1")
-    near = near.select("poly_id", "id", "x", "y", F.floor(F.col("y") / height).cast("long").alias("band"))
+    near = near.select("poly_id", "id", "x", "y", band(F.col("y")).alias("band"))
     met = near.join(F.broadcast(banded), ["poly_id", "band"]) if parts is None else _met(near, banded, ["poly_id", "band"], parts)
 
     px, py = F.col("x"), F.col("y")
