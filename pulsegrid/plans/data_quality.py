@@ -47,6 +47,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spikes.found(read(spark, sf_dir, "lasdata"))
 
 
+def p4_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kinds that can be stated in SQL: readings beyond physical limits and stuck runs."""
+    return spikes.readings(read(spark, sf_dir, "lasdata")).where("kind <> 'spike'")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.found(read(spark, sf_dir, "header"), read(spark, sf_dir, "vlr"), read(spark, sf_dir, "lasdata"))
 
@@ -66,7 +71,7 @@ def p6_lifespans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_profile, p2_expressions, p3_found, p4_found, p6_found, p6_unified, p6_points, p6_lifespans)}
+    return {f.__name__: f for f in (p2_found, p2_profile, p2_expressions, p3_found, p4_found, p4_plain, p6_found, p6_unified, p6_points, p6_lifespans)}
 
 
 P2_SQL = """
@@ -151,6 +156,18 @@ union all select p.file_id, 'extradata', 'mismatch' from (select file_id, min(co
 """
 
 
+_LIMITS = ", ".join(f"('{f.name}', {f.low!r}, {f.high!r}, {f.longest})" for f in spikes.FIELDS)
+P4_PLAIN_SQL = f"""
+with p as (select point_id, file_id, point_source_id, any_value(point_index) as i, any_value(z) as z, any_value(intensity) as intensity, any_value(gps_time) as gps_time
+           from lasdata where point_id is not null and file_id is not null and point_source_id is not null and point_index is not null group by all),
+r as (select point_id, file_id, point_source_id, i, 'z' as field, z as v from p union all select point_id, file_id, point_source_id, i, 'intensity', cast(intensity as double) from p
+      union all select point_id, file_id, point_source_id, i, 'gps_time', gps_time from p),
+o as (select *, row_number() over w - row_number() over (partition by file_id, point_source_id, field, v order by i, point_id) as run from r where v is not null and not isnan(v)
+      window w as (partition by file_id, point_source_id, field order by i, point_id)),
+n as (select *, count(*) over (partition by file_id, point_source_id, field, v, run) as length from o)
+select point_id, field, case when v < low or v > high then 'limit' else 'stuck' end as kind from n join (values {_LIMITS}) t(field, low, high, longest) using (field) where v < low or v > high or length > longest
+"""
+
 P6_POINTS_SQL = """
 with h as (select file_id, point_data_format as pdrf, version_minor as minor, start_of_waveform_data as w, start_of_extended_variable_length_record as e, number_of_extended_variable_length_record as n, legacy_number_of_point_records as l
            from header where file_id is not null qualify row_number() over (partition by file_id order by coalesce(load_id, 2147483647), received_at nulls first) = 1),
@@ -170,4 +187,4 @@ select s as series, name as field, type, min(ord) as first_ord, max(ord) as last
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL, "p3_found": P3_SQL, "p6_found": P6_SQL, "p6_points": P6_POINTS_SQL, "p6_lifespans": P6_LIFESPANS_SQL}
+    return {"p2_found": P2_SQL, "p3_found": P3_SQL, "p4_plain": P4_PLAIN_SQL, "p6_found": P6_SQL, "p6_points": P6_POINTS_SQL, "p6_lifespans": P6_LIFESPANS_SQL}

@@ -90,3 +90,43 @@ def test_infinite_readings(spark):
     z[20], z[40], z[60] = np.inf, -np.inf, np.nan
     df = spark.createDataFrame(table(spark, {(1, 1): z}), SCHEMA)
     assert sorted(map(tuple, S.found(df).collect())) == [(20, "z"), (40, "z")]
+
+
+def test_fit_decides_where_lags_explain_the_series():
+    """In an oscillation a reading inside the usual range is an outlier to the autoregression only."""
+    rng = np.random.default_rng(11)
+    t = np.arange(400)
+    v = 100.0 + 10.0 * np.sin(2 * np.pi * t / 4.6) + rng.normal(0, 0.02, 400)
+    v[150] = 100.0 if abs(v[150] - 100.0) > 3 else 106.0
+    hit = np.flatnonzero(S.outliers(v, 9.0, 0.002))
+    assert hit.tolist() == [150]
+    level = np.array([np.median(v[max(0, i - 5) : i]) for i in range(1, 400)])
+    assert abs(v[150] - level[149]) < 3 * np.median(np.abs(v[1:] - level))  # no median tells it
+
+
+def test_level_shift_is_taken_out():
+    rng = np.random.default_rng(12)
+    v = rng.normal(0, 0.05, 300)
+    v[100:] += 8.0
+    v[200:] -= 5.0
+    level = S._shifts(v, 0.5)
+    assert np.allclose(level[[99, 100, 199, 200]], [0, 8, 8, 3], atol=0.3)
+    v[99] += 3.0  # a spike just before a shift towards it
+    v[250] -= 2.0
+    assert np.flatnonzero(S.outliers(v, 9.0, 0.002)).tolist() == [99, 250]
+
+
+def test_long_source_is_judged_as_a_whole(spark):
+    """A calm stretch of a noisy source has its own scatter, but the source's decides."""
+    rng = np.random.default_rng(13)
+    n = 3000
+    z = rng.normal(0, 1.0, n)
+    z[2000:] *= 0.01
+    z[2500] = 0.5  # far off for the stretch, ordinary for the source
+    z[500] = 60.0
+    rows = [(i, 1, i, 1, float(z[i])) for i in range(n)]
+    p = spark.createDataFrame(rows, "point_id long, file_id long, point_index long, point_source_id int, z double")
+    field = (S.Field("z", 9.0, 0.002, -500.0, 9000.0),)
+    whole = {tuple(r) for r in S.readings(p, field).collect()}
+    cut = {tuple(r) for r in S.readings(p, field, stretch=500).collect()}
+    assert whole == cut == {(500, "z", "spike")}
