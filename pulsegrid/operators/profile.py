@@ -79,14 +79,24 @@ def _bits(run: Column) -> Column:
     return each * F.length(run)
 
 
+#: A number with or without sign and fraction, as its loose shape.
+_NUMERIC = ("9", "-9", "9.9", "-9.9")
+
+
+def _digits(low: Column, high: Column) -> Column:
+    return F.concat(F.lit(r"\d"), F.when(low != high, F.format_string("{%d,%d}", low, high)).when(low > 1, F.format_string("{%d}", low)).otherwise(""))
+
+
 def induce_expressions(counts: DataFrame) -> DataFrame:
     """(column_name, shape, regex): the expressions chosen for each column, one row for each shape they cover.
 
-    All distinct values take part. A shape is a value with its letters and digits replaced by their class.
-    Shapes that differ only in the length of runs can share an expression with ranges. The description length
-    of an expression is 8 bits for each of its characters plus the bits that single out each distinct value,
-    a range costing the bits of its length; of the forms apart and shared the shorter wins. Values that are
-    shorter written out than described keep no expression: they are the nonconforming ones.
+    All distinct values take part. A shape is a value with its letters and digits replaced by their class. Shapes are
+    described by one expression each (apart), those that differ only in the length of runs by one with ranges
+    (shared), and numbers with and without sign or fraction by one with optional parts (numeric). The description
+    length of a set of expressions is 8 bits for each of their characters, the bits that single out each distinct
+    value's letters and digits, and the bits that tell its shape, which are coded by how often shapes occur: for shared
+    forms that takes 8 bits more for each shape, for forms apart the expressions themselves. The shortest form wins.
+    Values that are shorter written out than described keep no expression: they are the nonconforming ones.
     """
     shapes = (
         counts.where("text is not null").select("column_name", "text").distinct()
@@ -95,27 +105,43 @@ def induce_expressions(counts: DataFrame) -> DataFrame:
         .withColumn("runs", F.regexp_extract_all("shape", F.lit(r"(9+|A+|a+|(?s:.))"), F.lit(1)))
         .withColumn("loose", F.regexp_replace("shape", r"(9|A|a)\1+", "$1"))
     )
+    own = shapes.withColumn("apart", F.array_join(F.transform("runs", lambda r: _piece(r, F.length(r), F.length(r))), "")).withColumn(
+        "bits", F.col("d") * F.aggregate("runs", F.lit(0.0), lambda a, r: a + _bits(r))
+    )
+    own = own.withColumn("family", F.when(F.col("loose").isin(*_NUMERIC), F.lit("number")).otherwise(F.col("loose")))
+    own = own.withColumn("apart_cost", 8.0 * F.length("apart") + F.col("bits")).withColumn("raw", F.col("d") * 8.0 * (F.length("shape") + 1))
+    own = own.select("column_name", "family", "loose", "shape", "runs", "d", "bits", "apart", "apart_cost", "raw")
+    # Bits that tell which of several shapes with d values each it is: sum of d * log2(total / d).
+    telling = lambda d: F.sum(d) * F.log2(F.sum(d)) - F.sum(d * F.log2(d))
+    own = checkpoint(own)  # a row for each shape, read by four joins
     span = (
-        shapes.select("column_name", "loose", F.posexplode("runs").alias("pos", "run"))
+        own.select("column_name", "loose", F.posexplode("runs").alias("pos", "run"))
         .groupBy("column_name", "loose", "pos")
         .agg(F.min(F.length("run")).alias("low"), F.max(F.length("run")).alias("high"), F.first("run").alias("run"))
-        .select("column_name", "loose", "pos", _piece(F.col("run"), F.col("low"), F.col("high")).alias("piece"), F.log2(F.col("high") - F.col("low") + 1.0).alias("slack"))
+        .select("column_name", "loose", "pos", _piece(F.col("run"), F.col("low"), F.col("high")).alias("piece"))
         .groupBy("column_name", "loose")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda p: p["piece"]), "").alias("shared"), F.sum("slack").alias("slack"))
+        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda p: p["piece"]), "").alias("shared"))
     )
-    own = shapes.withColumn("apart", F.array_join(F.transform("runs", lambda r: _piece(r, F.length(r), F.length(r))), "")).withColumn(
-        "bits", F.aggregate("runs", F.lit(0.0), lambda a, r: a + _bits(r))
-    )
-    own = own.withColumn("apart_cost", 8.0 * F.length("apart") + F.col("d") * F.col("bits"))
-    group = own.groupBy("column_name", "loose").agg(
-        F.sum("apart_cost").alias("apart_total"), F.sum(F.col("d") * F.col("bits")).alias("bits_total"), F.sum("d").alias("d_total"), F.sum(F.col("d") * 8.0 * (F.length("shape") + 1)).alias("raw_total")
-    )
-    both = own.join(group, ["column_name", "loose"]).join(span, ["column_name", "loose"])
-    shared_cost = 8.0 * F.length("shared") + F.col("bits_total") + F.col("d_total") * F.col("slack")
-    as_shared = shared_cost < F.col("apart_total")
-    raw = F.col("d") * 8.0 * (F.length("shape") + 1)
-    keep = F.when(as_shared, shared_cost < F.col("raw_total")).otherwise(F.col("apart_cost") < raw)
-    return both.where(keep).select("column_name", "shape", F.when(as_shared, F.col("shared")).otherwise(F.col("apart")).alias("regex"))
+    by_loose = own.groupBy("column_name", "family", "loose").agg(F.sum("d").cast("double").alias("d"), F.sum("bits").alias("bits"), F.sum("raw").alias("raw"), F.count(F.lit(1)).alias("n"), F.sum("apart_cost").alias("apart_cost"), telling(F.col("d").cast("double")).alias("telling"))
+    by_loose = by_loose.join(span, ["column_name", "loose"])
+    by_loose = by_loose.withColumn("shared_cost", 8.0 * F.length("shared") + F.col("bits") + F.col("telling") + 8.0 * F.col("n")).withColumn("apart_cost", F.col("apart_cost") + F.col("telling"))
+    by_loose = by_loose.withColumn("loose_cost", F.least("shared_cost", "apart_cost")).drop("raw")
+    number = own.where(F.col("family") == "number").withColumns({"sign": F.col("shape").startswith("-"), "whole": F.length(F.regexp_extract("shape", "^-?(9+)", 1)), "part": F.length(F.regexp_extract("shape", r"\.(9+)$", 1))})
+    number = number.groupBy("column_name").agg(
+        F.sum("raw").alias("raw"), F.sum("bits").alias("bits"), F.count(F.lit(1)).alias("n"), telling(F.col("d").cast("double")).alias("telling"), F.max("sign").alias("some"), F.min("sign").alias("all"),
+        F.min("whole").alias("w0"), F.max("whole").alias("w1"), F.min(F.when(F.col("part") > 0, F.col("part"))).alias("p0"), F.max("part").alias("p1"), F.min(F.col("part") > 0).alias("always"),
+    )
+    fraction = F.concat(F.lit(r"\."), _digits(F.col("p0"), F.col("p1")))
+    regex = F.concat(F.when(F.col("all"), r"\-").when(F.col("some"), r"\-?").otherwise(""), _digits(F.col("w0"), F.col("w1")), F.when(F.col("p1") == 0, "").when(F.col("always"), fraction).otherwise(F.concat(F.lit("("), fraction, F.lit(")?"))))
+    number = number.withColumn("numeric", regex).withColumn("numeric_cost", 8.0 * F.length("numeric") + F.col("bits") + F.col("telling") + 8.0 * F.col("n"))
+    lower = by_loose.where(F.col("family") == "number").groupBy("column_name").agg((F.sum("loose_cost") + telling(F.col("d"))).alias("lower"))
+    number = number.join(lower, "column_name").where("numeric_cost < least(lower, raw)").select("column_name", F.lit("number").alias("family"), "numeric")
+    chosen = own.join(by_loose.select("column_name", "loose", "shared", "shared_cost", F.col("apart_cost").alias("apart_total")), ["column_name", "loose"]).join(number, ["column_name", "family"], "left")
+    raw_total = own.groupBy("column_name", "loose").agg(F.sum("raw").alias("raw_total"))
+    chosen = chosen.join(raw_total, ["column_name", "loose"])
+    as_shared = F.col("shared_cost") < F.col("apart_total")
+    keep = F.col("numeric").isNotNull() | F.when(as_shared, F.col("shared_cost") < F.col("raw_total")).otherwise(F.col("apart_cost") < F.col("raw"))
+    return chosen.where(keep).select("column_name", "shape", F.coalesce("numeric", F.when(as_shared, F.col("shared")).otherwise(F.col("apart"))).alias("regex"))
 
 
 def _distribution_gap(counts: DataFrame, totals: DataFrame) -> DataFrame:
@@ -149,17 +175,41 @@ def _distribution_gap(counts: DataFrame, totals: DataFrame) -> DataFrame:
     return v.groupBy("load_id", "column_name").agg(F.max(F.greatest(gap(cl, ct), gap(cl - F.col("n"), ct - F.col("t")))).alias("gap"))
 
 
-def _mode_of_others(counts: DataFrame) -> DataFrame:
-    """(load_id, column_name, others_mode): the most rows that one value has outside the load."""
+#: Share of the rows of other loads below which they hardly use a form.
+RARE = 0.001
+#: Values of a column that are looked at first for being the most frequent one elsewhere.
+TOP = 256
+
+
+def _mode_of_others(counts: DataFrame, top: int = TOP) -> DataFrame:
+    """(load_id, column_name, others_mode): the most rows that one value has outside the load.
+
+    That value is one of the load's own, which its rows tell, or the most frequent one that the load lacks. The latter is
+    looked for among the top values of the column; only where a load has all of these, and they don't already beat
+    what is left, more are looked at. No value meets loads that it isn't in but those top ones.
+    """
     v = counts.where("value is not null").groupBy("column_name", "value", "load_id").agg(F.sum("n").alias("n"))
-    v = v.groupBy("column_name", "value").agg(F.sum("n").alias("t"), F.map_from_entries(F.collect_list(F.when(F.col("load_id").isNotNull(), F.struct("load_id", "n")))).alias("own"))
-    loads = counts.where("load_id is not null").groupBy("column_name").agg(F.collect_set("load_id").alias("loads"))
-    return (
-        v.join(loads, "column_name")
-        .select("column_name", "t", "own", F.explode("loads").alias("load_id"))
-        .groupBy("load_id", "column_name")
-        .agg(F.max(F.col("t") - F.coalesce(F.try_element_at("own", F.col("load_id")), F.lit(0))).alias("others_mode"))
-    )
+    totals = v.groupBy("column_name", "value").agg(F.sum("n").alias("t"))
+    v = v.join(totals, ["column_name", "value"])
+    v = checkpoint(v)
+    loads = checkpoint(v.where("load_id is not null").groupBy("column_name", "load_id").agg(F.max(F.col("t") - F.col("n")).alias("best")))
+    totals = v.select("column_name", "value", "t").distinct()
+    done = None
+    while True:
+        w = Window.partitionBy("column_name").orderBy(F.desc("t"), "value")
+        first = checkpoint(totals.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top))
+        ends = first.groupBy("column_name").agg(F.min("t").alias("least"), F.count(F.lit(1)).alias("seen"))
+        pairs = loads.join(first, "column_name").join(v.select("column_name", "value", "load_id", F.lit(True).alias("has")), ["column_name", "value", "load_id"], "left")
+        lacking = pairs.where("has is null").groupBy("column_name", "load_id").agg(F.max("t").alias("lacked"))
+        now = loads.join(lacking, ["column_name", "load_id"], "left").join(ends, "column_name", "left")
+        now = now.withColumn("open", F.col("lacked").isNull() & (F.col("seen") >= top) & (F.col("least") > F.col("best")))
+        now = checkpoint(now.select("column_name", "load_id", F.greatest("best", F.coalesce("lacked", F.lit(0))).alias("others_mode"), "best", "open"))
+        closed = now.where("not coalesce(open, false)").select("load_id", "column_name", "others_mode")
+        done = closed if done is None else done.unionByName(closed)
+        loads = now.where("open").select("column_name", "load_id", "best")
+        if loads.isEmpty():
+            return done
+        totals, top = totals.join(loads.select("column_name").distinct(), "column_name", "left_semi"), top * 16
 
 
 def profile(counts: DataFrame, patterns: bool = True) -> DataFrame:
@@ -188,12 +238,16 @@ def profile(counts: DataFrame, patterns: bool = True) -> DataFrame:
         share("mode", "nonnull").alias("mode_share"), share("others_mode", "others_nonnull").alias("others_mode_share"), "gap",
     ]
     if patterns:
-        shaped = counts.where("text is not null").withColumn("shape", _shape(F.col("text"))).groupBy("load_id", "column_name", "shape").agg(F.sum("n").alias("n"))
-        shaped = shaped.join(induce_expressions(counts), ["column_name", "shape"], "left")
-        odd = shaped.groupBy("load_id", "column_name").agg(F.sum(F.when(F.col("regex").isNull(), F.col("n")).otherwise(0)).alias("odd"), F.count_distinct("regex").alias("expressions"))
-        odd = odd.withColumn("all_odd", F.sum("odd").over(Window.partitionBy("column_name"))).where("load_id is not null")
-        out = out.join(odd, ["load_id", "column_name"], "left")
-        columns += ["expressions", share("odd", "nonnull").alias("nonconforming_share"), F.expr("(all_odd - odd) / nullif(others_nonnull, 0)").alias("others_nonconforming_share")]
+        forms = counts.where("text is not null").withColumn("shape", _shape(F.col("text"))).groupBy("load_id", "column_name", "shape").agg(F.sum("n").alias("n"))
+        forms = checkpoint(forms.join(induce_expressions(counts), ["column_name", "shape"], "left"))
+        shaped = forms.groupBy("load_id", "column_name").agg(F.sum(F.when(F.col("regex").isNull(), F.col("n")).otherwise(0)).alias("odd"), F.count_distinct("regex").alias("expressions"))
+        shaped = shaped.withColumn("all_odd", F.sum("odd").over(Window.partitionBy("column_name"))).where("load_id is not null")
+        # Forms that the other loads hardly use, though an expression may cover them.
+        every = forms.groupBy("column_name", "shape").agg(F.sum("n").alias("t"))
+        rare = forms.where("load_id is not null").join(every, ["column_name", "shape"]).join(own.select("load_id", "column_name", "others_nonnull"), ["load_id", "column_name"])
+        rare = rare.groupBy("load_id", "column_name").agg(F.sum(F.when(F.col("t") - F.col("n") < RARE * F.col("others_nonnull"), F.col("n")).otherwise(0)).alias("unusual"))
+        out = out.join(shaped, ["load_id", "column_name"], "left").join(rare, ["load_id", "column_name"], "left")
+        columns += ["expressions", share("odd", "nonnull").alias("nonconforming_share"), F.expr("(all_odd - odd) / nullif(others_nonnull, 0)").alias("others_nonconforming_share"), share("unusual", "nonnull").alias("unusual_form_share")]
     return out.select(*columns)
 
 
@@ -206,7 +260,8 @@ def issues(profiled: DataFrame, limits: Limits = Limits()) -> DataFrame:
         ("shift", F.col("gap") > limits.shift),
     ]
     if "nonconforming_share" in profiled.columns:
-        tests.append(("pattern", F.col("nonconforming_share") - F.col("others_nonconforming_share") > limits.pattern))
+        odd = F.col("nonconforming_share") - F.col("others_nonconforming_share") > limits.pattern
+        tests.append(("pattern", odd | (F.col("unusual_form_share") > limits.pattern)))
     found = F.array_compact(F.array(*[F.when(t, F.lit(k)) for k, t in tests]))
     return profiled.select("load_id", "column_name", F.explode(found).alias("issue"))
 

@@ -35,6 +35,11 @@ def p2_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.profile(profile_counts(spark, sf_dir))
 
 
+def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile without expressions, which SQL can state."""
+    return profile.profile(profile_counts(spark, sf_dir), patterns=False)
+
+
 def p2_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.induce_expressions(profile_counts(spark, sf_dir)).groupBy("column_name", "regex").agg(F.count(F.lit(1)).alias("shapes"))
 
@@ -71,10 +76,10 @@ def p6_lifespans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_profile, p2_expressions, p3_found, p4_found, p4_plain, p6_found, p6_unified, p6_points, p6_lifespans)}
+    return {f.__name__: f for f in (p2_found, p2_profile, p2_shares, p2_expressions, p3_found, p4_found, p4_plain, p6_found, p6_unified, p6_points, p6_lifespans)}
 
 
-P2_SQL = """
+_P2_SQL = """
 with cells as (
   select load_id, 'max_x' as column_name, case when isnan(max_x) then null else round(max_x*1000) end as v,
          coalesce(round(max_x*1000) < case when isnan(min_x) then null else round(min_x*1000) end, false) as bad from header
@@ -83,8 +88,8 @@ with cells as (
   union all select load_id, 'number_of_point_records', cast(number_of_point_records as double), coalesce(number_of_point_records < 1, false) from header
   union all select load_id, 'classification', cast(classification as double), coalesce(classification not between 0 and 255, false) from lasdata),
 c as (select load_id, column_name, v, sum(case when bad and v is not null then 1 else 0 end) as bad, count(*) as n from cells group by all),
-l as (select load_id, column_name, sum(n) as rows, sum(n) filter (v is null) as nulls, sum(bad) as bad, max(n) filter (v is not null) as mode from c group by all),
-l2 as (select load_id, column_name, rows, coalesce(nulls,0) as nulls, bad, mode, rows - coalesce(nulls,0) as nn from l),
+l as (select load_id, column_name, sum(n) as rows, sum(n) filter (v is null) as nulls, sum(bad) as bad, max(n) filter (v is not null) as mode, count(v) as distinct_values, min(v) as min_value, max(v) as max_value from c group by all),
+l2 as (select load_id, column_name, distinct_values, min_value, max_value, rows, coalesce(nulls,0) as nulls, bad, mode, rows - coalesce(nulls,0) as nn from l),
 t as (select column_name, sum(rows) as rows, sum(nulls) as nulls, sum(bad) as bad, sum(nn) as nn from l2 group by all),
 tv as (select column_name, v, sum(n) as t from c where v is not null group by all),
 g as (select a.load_id, a.column_name, tv.v, tv.t, coalesce(c.n,0) as n from l2 a join tv using (column_name) left join c on c.load_id=a.load_id and c.column_name=a.column_name and c.v=tv.v),
@@ -93,12 +98,19 @@ s as (select l2.load_id, l2.column_name, max(cum.o) as omode, max(abs(cl / nulli
       from l2 join t using (column_name) join cum on cum.load_id=l2.load_id and cum.column_name=l2.column_name group by all),
 f as (select l2.*, t.rows - l2.rows as orows, t.nulls - l2.nulls as onulls, t.bad - l2.bad as obad, t.nn - l2.nn as onn, s.omode, s.gap
       from l2 join t using (column_name) left join s on s.load_id=l2.load_id and s.column_name=l2.column_name where l2.load_id is not null)
+"""
+P2_SQL = _P2_SQL + """
 select load_id, column_name, 'nulls' as issue from f where nulls/rows - onulls/nullif(orows,0) > 0.05
 union all select load_id, column_name, 'range' from f where bad/nullif(nn,0) - obad/nullif(onn,0) > 0.02
 union all select load_id, column_name, 'repeat' from f where mode/nullif(nn,0) - omode/nullif(onn,0) > 0.16
 union all select load_id, column_name, 'shift' from f where gap > 0.42
 """
 
+P2_SHARES_SQL = _P2_SQL + """
+select load_id, column_name, rows, distinct_values, min_value, max_value, nulls/rows as null_share, onulls/nullif(orows,0) as others_null_share, bad/nullif(nn,0) as invalid_share, obad/nullif(onn,0) as others_invalid_share,
+  mode/nullif(nn,0) as mode_share, omode/nullif(onn,0) as others_mode_share, gap from f
+"""
+
 P3_SQL = """
 with p as (select point_id as id, cast(round(any_value(x)*1000) as bigint) as x, cast(round(any_value(y)*1000) as bigint) as y
            from lasdata where point_id is not null and not isnan(x) and not isnan(y) and abs(x) < 1e12 and abs(y) < 1e12 group by point_id),
@@ -187,4 +199,4 @@ select s as series, name as field, type, min(ord) as first_ord, max(ord) as last
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL, "p3_found": P3_SQL, "p4_plain": P4_PLAIN_SQL, "p6_found": P6_SQL, "p6_points": P6_POINTS_SQL, "p6_lifespans": P6_LIFESPANS_SQL}
+    return {"p2_found": P2_SQL, "p2_shares": P2_SHARES_SQL, "p3_found": P3_SQL, "p4_plain": P4_PLAIN_SQL, "p6_found": P6_SQL, "p6_points": P6_POINTS_SQL, "p6_lifespans": P6_LIFESPANS_SQL}

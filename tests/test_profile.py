@@ -79,3 +79,24 @@ def test_expressions(spark):
     p = {r.load_id: r for r in P.profile(c).collect()}
     odd = sum(s is not None and not fits(s) for a, s in rows if a == 2)
     assert abs(p[2].nonconforming_share - odd / 152) < 1e-12
+
+
+def test_mode_of_others_among_values_a_load_lacks(spark):
+    """Load 1 has all top values to itself; what it lacks is found below them, however few are looked at first."""
+    rows = [(1, "c", float(k), 1000 + k) for k in range(60)] + [(2, "c", 500.0, 10), (2, "c", 3.0, 1), (None, "c", 501.0, 12), (3, "c", 500.0, 5)]
+    counts = spark.createDataFrame(rows, "load_id int, column_name string, value double, n long")
+    for top in (2, 16, 256):
+        got = {r.load_id: r.others_mode for r in P._mode_of_others(counts, top).collect()}
+        assert got == {1: 15, 2: 1059, 3: 1059}
+
+
+def test_numbers_share_one_expression(spark):
+    import re
+
+    rng = np.random.default_rng(3)
+    texts = {f"{x:.3f}" for x in rng.normal(0, 300, 500)} | {str(int(x)) for x in rng.integers(-5000, 5000, 300)}
+    counts = spark.createDataFrame([("c", x) for x in sorted(texts)] + [("c", "n/a ??"), ("d", "AB-12"), *[("d", f"XY-{k}") for k in range(10, 99)]], "column_name string, text string")
+    got = P.induce_expressions(counts).collect()
+    of = {c: {r.regex for r in got if r.column_name == c} for c in "cd"}
+    assert len(of["c"]) == 1 and all(re.fullmatch(next(iter(of["c"])), x) for x in texts)
+    assert len(of["d"]) == 1 and not re.fullmatch(next(iter(of["c"])), "n/a ??")
