@@ -1,11 +1,12 @@
 """Mixes of sources by target shares of the size in tokens.
 
-Tokens are counted once for every document and summed to cells of (source, language, topic). For each plan the
-cells' token weights are raked by iterative proportional fitting: the source marginals are the plan's shares of
-its size, cut to what max_repeats allows, the language and topic marginals are those of the plan's sources
-weighted by their shares. The fitted weight of a cell is the expected number of times that each of its documents
-is used. Documents are then drawn systematically, in order of size, so that each is used the whole part of its
-weight or once more and the drawn size stays near the target.
+Tokens are counted once for every document and summed to cells of (source, language, topic); the topic is the kind of
+file that most of a commit's changes touch. For each plan the cells' token weights are raked by iterative proportional
+fitting: the source marginals are the plan's shares of its size, cut to what max_repeats allows, the language and topic
+marginals are those given, else half the corpus's own and half those of the plan's sources weighted by their shares.
+The fitted weight of a cell is the expected number of times that each of its documents is used; a source that raking
+leaves below its share is short. Documents are then drawn systematically, in order of size, so that each is used the
+whole part of its weight or once more and the drawn size stays near the target.
 
 Sources, languages and topics compare trimmed and lower-cased; documents without source belong to no source of
 a plan but count in the size of all documents. Null and empty texts have no tokens and are never drawn. A plan
@@ -29,12 +30,12 @@ def plain(c: str | Column) -> Column:
 
 
 def topic_of(text: Column) -> Column:
-    """A coarse topic of a commit by its first line."""
-    head = F.lower(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)^\s*([^\n]{0,80})", 1))
-    return (
-        F.when(F.trim(head) == "", "none").when(head.startswith("merge "), "merge").when(head.startswith("revert"), "revert")
-        .when(head.rlike(r"^(bump |\[auto\]|chore\()"), "automatic").when(head.startswith("diff --git"), "diff").otherwise("ordinary")
-    )
+    """The ending of most file names in a commit's diff (of equally many the last in order), over the whole text; none
+    without a diff, other for files without an ending."""
+    names = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?m)^diff --git (?:.*[^.\s/]\.([A-Za-z0-9_+]{1,12})|.*)$"), F.lit(1))
+    ends = F.transform(names, lambda n: F.when(n == "", "other").otherwise(F.lower(n)))
+    best = F.array_max(F.transform(F.array_distinct(ends), lambda e: F.struct(F.size(F.filter(ends, lambda o: o == e)).alias("n"), e.alias("e"))))
+    return F.coalesce(best["e"], F.lit("none"))
 
 
 def document_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -61,6 +62,8 @@ def plan_targets(plans: DataFrame, cells: DataFrame) -> DataFrame:
 ROUNDS = 50
 STARTS = 32
 LARGE = 0.01
+#: Documents of a part in which weights are summed up.
+PART_ROWS = 20_000
 #: Rows up to which tables of categories are sent to all tasks.
 GROUPS = 100_000
 
@@ -96,7 +99,7 @@ def _rake(pdf: pd.DataFrame) -> pd.DataFrame:
     target = np.minimum(target, most * supply)
     ratio = np.divide(target, supply, out=np.zeros(n_src), where=supply > 0)
     w = ratio[code["source"]]
-    # Language and topic marginals: of the plan's sources in proportion to their targets.
+    # Language and topic marginals: those given, else of the plan's sources in proportion to their targets and of the corpus.
     wanted = {c: np.bincount(code[c], w * have) for c in ("lang", "topic")}
     size = np.bincount(code["source"], w * have, n_src)
     corpus = {c: np.bincount(code[c], have) for c in ("lang", "topic")}
@@ -104,6 +107,11 @@ def _rake(pdf: pd.DataFrame) -> pd.DataFrame:
         total = corpus[c].sum()
         even = corpus[c] / total * size.sum() if total else corpus[c]
         wanted[c] = 0.5 * wanted[c] + 0.5 * even
+        asked = pdf[f"{c}_share"].to_numpy(float) if f"{c}_share" in pdf else np.empty(0)
+        if np.isfinite(asked).any():
+            given = np.zeros(len(wanted[c]))
+            np.maximum.at(given, code[c], np.nan_to_num(asked))
+            wanted[c] = given / max(given.sum(), 1e-300) * size.sum()
     for _ in range(ROUNDS):
         old = w
         for c in ("lang", "topic"):
@@ -120,23 +128,34 @@ def _rake(pdf: pd.DataFrame) -> pd.DataFrame:
     for k in np.flatnonzero(supply > 0):  # rounds may end before a marginal is met where caps bind; the source's has to hold
         own = code["source"] == k
         w[own] = _exact(w[own], have[own], cap[own], target[k])
-    return pdf.assign(weight=w)
+    # What raking leaves of a source's share is more than rounding where its caps are too low.
+    reached = np.bincount(code["source"], w * have, n_src)[code["source"]]
+    hoped = share * pdf["size"].to_numpy(float)
+    return pdf.assign(weight=w, short=hoped - reached > 1e-9 * hoped)
 
 
-def calibrate(plans: DataFrame, cells: DataFrame) -> DataFrame:
-    """One row for each plan and cell of its sources: share, size, source_tokens, tokens, weight and short.
+def calibrate(plans: DataFrame, cells: DataFrame, marginals: DataFrame | None = None) -> DataFrame:
+    """One row for each plan and cell of its sources: share, size, source_tokens, tokens, lang_share, topic_share (as
+    asked for), weight and short.
 
-    short: max_repeats times the source's tokens is below its share of the plan's size. A source without any
-    document has one row with null language and topic.
+    marginals: plan_id, dimension (lang or topic), value and share; dimensions that a plan lacks there keep the default.
+    short: raking can't bring the source to its share of the plan's size, that is, max_repeats times its tokens is
+    below it. A source without any document has one row with null language and topic.
     """
     targets = plan_targets(plans, cells)
     t = targets.withColumnRenamed("tokens", "source_tokens")
     joined = t.join(cells.where("source is not null"), "source", "left").select(
         "plan_id", "source", "lang", "topic", "share", F.col("max_repeats").cast("int").alias("max_repeats"), "size", F.col("source_tokens").cast("long").alias("source_tokens"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens")
     )
+    for c in ("lang", "topic"):
+        if marginals is None:
+            joined = joined.withColumn(f"{c}_share", F.lit(None).cast("double"))
+        else:
+            asked = marginals.where(F.col("dimension") == c).groupBy("plan_id", plain("value").alias(c)).agg(F.sum("share").alias(f"{c}_share"))
+            joined = joined.join(fitting(asked, GROUPS), ["plan_id", c], "left")
+    joined = joined.select("plan_id", "source", "lang", "topic", "share", "max_repeats", "size", "source_tokens", "tokens", "lang_share", "topic_share")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema.fields)
-    fitted = joined.groupBy("plan_id").applyInPandas(_rake, f"{kinds}, weight double")
-    return fitted.withColumn("short", F.coalesce(F.col("max_repeats") * F.col("source_tokens") < F.col("share") * F.col("size"), F.lit(False)))
+    return joined.groupBy("plan_id").applyInPandas(_rake, f"{kinds}, weight double, short boolean")
 
 
 def found(calibrated: DataFrame) -> DataFrame:
@@ -145,50 +164,69 @@ def found(calibrated: DataFrame) -> DataFrame:
 
 
 def _systematic(d: DataFrame) -> DataFrame:
-    """plan_id, doc_id, source, tokens and copies: the whole numbers that the running sum of weights passes.
+    """The rows with copies: the whole numbers that the running sum of weights passes.
 
-    Documents come in order of size within plan and source; sums run in small parts to which those of earlier
-    parts are added. Of STARTS first values of the sum the one is taken whose size comes nearest to the wanted.
+    Documents come in order of size within plan and source; sums run in parts of about PART_ROWS documents, to which
+    those of earlier parts are added. Of STARTS first values of the sum the one is taken whose size comes nearest to the wanted.
     """
     group = ["plan_id", "source"]
-    d = d.withColumn("part", F.floor(F.log2("tokens") * 4).cast("int") * 64 + F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int"))
+    d = d.withColumn("class", F.floor(F.log2("tokens") * 4).cast("int"))
+    parts = d.groupBy(*group, "class").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("parts"))
+    d = d.join(fitting(parts, GROUPS), [*group, "class"]).withColumn("part", F.struct("class", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("p"))).drop("class", "parts")
     before = d.groupBy(*group, "part").agg(F.sum("weight").alias("s"))
     before = before.select(*group, "part", F.coalesce(F.sum("s").over(Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
     d = d.withColumn("upto", F.sum("weight").over(Window.partitionBy(*group, "part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))).join(before, [*group, "part"])
-    d = checkpoint(d.withColumn("upto", F.col("before") + F.col("upto")).select("plan_id", "doc_id", "source", "tokens", "weight", "upto"))
+    d = checkpoint(d.withColumn("upto", F.col("before") + F.col("upto")).drop("before", "part"))
     floor = lambda v: F.floor(F.round(v, 6))  # noqa: E731  # sums of doubles may lie just below a whole number
     passed = lambda start: floor(F.col("upto") + start) - floor(F.col("upto") - F.col("weight") + start)
     tried = d.groupBy(*group).agg(*[F.sum(passed(F.lit(i / STARTS)) * F.col("tokens")).alias(f"s{i}") for i in range(STARTS)], F.sum(F.col("weight") * F.col("tokens")).alias("wanted"))
     best = tried.select(*group, F.array_min(F.array(*[F.struct(F.abs(F.col(f"s{i}") - F.col("wanted")).alias("off"), F.lit(i / STARTS).alias("start")) for i in range(STARTS)]))["start"].alias("start"))
     d = d.join(fitting(best, GROUPS), group).withColumn("copies", passed(F.col("start")).cast("int"))
-    return d.where("copies > 0").select("plan_id", "doc_id", "source", "tokens", "copies")
+    return d.where("copies > 0").drop("weight", "upto", "start")
 
 
-def draw(tokens: DataFrame, calibrated: DataFrame) -> DataFrame:
-    """(plan_id, doc_id, source, tokens, copies) of the documents that each plan uses.
+def draw(tokens: DataFrame, calibrated: DataFrame, large: float = LARGE) -> DataFrame:
+    """(plan_id, doc_id, source, lang, topic, tokens, factor, copies) of the documents that each plan uses.
 
-    Documents that hold more than LARGE of their source's target are drawn first; the weights of all others are
-    then scaled to what is left of the target, up to max_repeats.
+    Documents that hold more than large of their source's target are drawn first; the weights of all others are
+    then scaled by one factor to what is left of the target, up to max_repeats. factor tells it (1 for the large ones),
+    report() gives it for each source; with large = 1 no document but one over the whole target is drawn apart.
     """
     weights = calibrated.where("weight > 0").select("plan_id", "source", "lang", "topic", "weight", "max_repeats")
     d = tokens.where("tokens > 0 and doc_id is not null").join(fitting(weights, GROUPS), ["source", "lang", "topic"])
     group = ["plan_id", "source"]
     target = calibrated.where("weight > 0").groupBy(*group).agg(F.sum(F.col("weight") * F.col("tokens")).alias("target"))
-    d = d.join(fitting(target, GROUPS), group).select("plan_id", "doc_id", "source", "tokens", "weight", "max_repeats", "target")
-    large = F.col("tokens") > LARGE * F.col("target")
-    first = checkpoint(_systematic(d.where(large)))
-    rest = d.where(~large)
+    d = d.join(fitting(target, GROUPS), group).select("plan_id", "doc_id", "source", "lang", "topic", "tokens", "weight", "max_repeats", "target")
+    columns = ["plan_id", "doc_id", "source", "lang", "topic", "tokens", "factor", "copies"]
+    over = F.col("tokens") > large * F.col("target")
+    first = checkpoint(_systematic(d.where(over).withColumn("factor", F.lit(1.0))).select(*columns))
+    rest = d.where(~over)
     used = first.groupBy(*group).agg(F.sum(F.col("tokens") * F.col("copies")).alias("used"))
     hoped = rest.groupBy(*group).agg(F.sum(F.col("weight") * F.col("tokens")).alias("hoped"))
     factor = target.join(used, group, "left").join(hoped, group).select(*group, (F.greatest(F.col("target") - F.coalesce("used", F.lit(0)), F.lit(0.0)) / F.col("hoped")).alias("factor"))
     rest = rest.join(fitting(factor, GROUPS), group).withColumn("weight", F.least(F.col("weight") * F.col("factor"), F.col("max_repeats").cast("double"))).where("weight > 0")
-    return first.unionByName(_systematic(rest))
+    return first.unionByName(_systematic(rest).select(*columns))
 
 
 def report(drawn: DataFrame, calibrated: DataFrame) -> DataFrame:
-    """(plan_id, source, target_share, actual_share, target_tokens, actual_tokens, short) of each plan's sources."""
+    """(plan_id, source, target_share, actual_share, target_tokens, actual_tokens, most_copies, rest_factor, short) of
+    each plan's sources; rest_factor: what draw() scaled the weights of all but the largest documents by."""
     want = calibrated.groupBy("plan_id", "source").agg(F.max("share").alias("target_share"), (F.max("share") * F.max("size")).alias("target_tokens"), F.max("short").alias("short"))
-    got = drawn.groupBy("plan_id", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("actual_tokens"), F.max("copies").alias("most_copies"))
+    got = drawn.groupBy("plan_id", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("actual_tokens"), F.max("copies").alias("most_copies"), F.max(F.when(F.col("factor") != 1, F.col("factor"))).alias("rest_factor"))
     r = want.join(got, ["plan_id", "source"], "left").withColumn("actual_tokens", F.coalesce("actual_tokens", F.lit(0)))
     share = F.col("actual_tokens") / F.expr("nullif(sum(actual_tokens) over (partition by plan_id), 0)")
-    return r.select("plan_id", "source", "target_share", share.alias("actual_share"), "target_tokens", "actual_tokens", "most_copies", "short")
+    return r.select("plan_id", "source", "target_share", share.alias("actual_share"), "target_tokens", "actual_tokens", "most_copies", "rest_factor", "short")
+
+
+def report_marginals(drawn: DataFrame, calibrated: DataFrame) -> DataFrame:
+    """(plan_id, dimension, value, asked_share, fitted_share, actual_share) of the languages and topics of each plan:
+    what was asked for (null where nothing was), what raking gives, and what was drawn."""
+    out = None
+    for c in ("lang", "topic"):
+        fitted = calibrated.where(F.col(c).isNotNull()).groupBy("plan_id", F.col(c).alias("value")).agg(F.max(f"{c}_share").alias("asked_share"), F.sum(F.col("weight") * F.col("tokens")).alias("fitted"))
+        got = drawn.groupBy("plan_id", F.col(c).alias("value")).agg(F.sum(F.col("tokens") * F.col("copies")).alias("actual"))
+        r = fitted.join(got, ["plan_id", "value"], "left").withColumn("actual", F.coalesce("actual", F.lit(0)))
+        of = lambda n: (F.col(n) / F.expr(f"nullif(sum({n}) over (partition by plan_id), 0)")).alias(f"{n}_share")
+        r = r.select("plan_id", F.lit(c).alias("dimension"), "value", "asked_share", of("fitted"), of("actual"))
+        out = r if out is None else out.unionByName(r)
+    return out

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
 #: Items of a section; three sections make half of a fresh level.
 SECTION = 64
 SECTIONS = 3
@@ -34,6 +36,8 @@ FRACTIONS = (0.001, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999)
 CHUNK = 400_000
 #: Items that the sketches of one task may hold together.
 HELD = 4_000_000
+#: Sketches of one group that one task merges before there is a step between.
+FAN = 256
 
 
 def relative_error(section: int = SECTION) -> float:
@@ -41,14 +45,22 @@ def relative_error(section: int = SECTION) -> float:
     return 3.0 * (1.0 / 8.0) ** 0.5 * 2.0 / section
 
 
+def _scrambled(x: int) -> int:
+    """A number of 64 bits whose every bit depends on all bits of x."""
+    x = (x + 0x9E3779B97F4A7C15) % 2**64
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+    return x ^ (x >> 31)
+
+
 class Sketch:
     """Levels of one tail: values are kept negated for the low one, so that the high end is the exact one."""
 
     __slots__ = ("section", "levels", "counts", "n", "low", "high", "coin")
 
-    def __init__(self, section: int = SECTION):
+    def __init__(self, section: int = SECTION, seed: int = 0):
         self.section, self.levels, self.counts, self.n = section, [np.empty(0)], [0], 0
-        self.low, self.high, self.coin = np.inf, -np.inf, 0
+        self.low, self.high, self.coin = np.inf, -np.inf, _scrambled(seed)
 
     def capacity(self, level: int) -> int:
         return 2 * self.section * (SECTIONS + max(0, int(self.counts[level]).bit_length() // 2))
@@ -74,7 +86,7 @@ class Sketch:
                 keep = max(cap // 2 - min(zeros, SECTIONS) * self.section, self.section)
                 move = (len(items) - keep) // 2 * 2
                 if self.counts[h] % 2 == 0:
-                    self.coin = (self.coin * 6364136223846793005 + self.n + h + 1442695040888963407) % 2**64
+                    self.coin = _scrambled(self.coin + self.n + h)
                 pick = ((self.coin >> 60) & 1) ^ (self.counts[h] % 2)
                 up = items[:move][pick::2]
                 items = items[move:]
@@ -128,15 +140,15 @@ class TwoEnded:
 
     __slots__ = ("high", "low")
 
-    def __init__(self, section: int = SECTION):
-        self.high, self.low = Sketch(section), None
+    def __init__(self, section: int = SECTION, seed: int = 0):
+        self.high, self.low = Sketch(section, seed), None
 
     def items(self) -> int:
         return sum(map(len, self.high.levels)) + (sum(map(len, self.low.levels)) if self.low is not None else 0)
 
     def _split(self) -> None:
         if self.low is None:
-            self.low = Sketch(self.high.section)
+            self.low = Sketch(self.high.section, self.high.coin + 1)
             self.low.add(-self.high.levels[0])
 
     def add(self, values: np.ndarray) -> None:
@@ -191,6 +203,11 @@ def _sketch_partition(section: int, keys: int):
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        # Coins differ from task to task and group to group, so that errors of partitions are independent.
+        context = TaskContext.get()
+        task = context.partitionId() + 1 if context else 0
         waiting: list[pa.RecordBatch] = []
         rows = 0
         held: dict[int, TwoEnded] = {}
@@ -206,7 +223,7 @@ def _sketch_partition(section: int, keys: int):
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(group)]):
                 s = held.get(group[a])
                 if s is None:
-                    s = held[group[a]] = TwoEnded(section)
+                    s = held[group[a]] = TwoEnded(section, task * 0x1000003 ^ int(group[a]))
                     fresh.append(order[a])
                 s.add(value[a:b])
             if fresh:
@@ -272,14 +289,24 @@ def sketch(values: DataFrame, keys: list[str], value: str = "value", section: in
     """keys and sketch, one row for each group that has readings."""
     v = values.select(*keys, F.xxhash64(*keys).alias("grp"), F.col(value).cast("double").alias("value")).where("value is not null and not isnan(value)")
     parts = v.mapInArrow(_sketch_partition(section, len(keys)), f"{_schema(v, keys)}, grp long, sketch binary")
-    return merge(parts, keys)
+    return merge(checkpoint(parts), keys)
+
 
+def merge(sketches: DataFrame, keys: list[str], fan: int = FAN) -> DataFrame:
+    """Combines sketches, such as those of single loads, to those of keys.
 
-def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """Combines sketches, such as those of single loads, to those of keys."""
+    In two steps where a group has more than fan sketches: first runs of fan by place at random, then their results,
+    so that a group of n sketches takes one task n / fan of them.
+    """
+    kinds = f"{_schema(sketches, keys)}, grp long, sketch binary"
     s = sketches.select(*keys, F.xxhash64(*keys).alias("grp"), "sketch")
+    most = s.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
+    if most > fan:
+        runs = int(-(-most // fan))
+        s = s.withColumn("run", F.pmod(F.xxhash64("sketch"), F.lit(runs))).repartition(*keys, "run").sortWithinPartitions("run", "grp", *keys)
+        s = s.select(*keys, F.xxhash64("grp", "run").alias("grp"), "sketch").mapInArrow(_merge_partition(len(keys)), kinds).withColumn("grp", F.xxhash64(*keys))
     s = s.repartition(*keys).sortWithinPartitions("grp", *keys)
-    return s.mapInArrow(_merge_partition(len(keys)), f"{_schema(s, keys)}, grp long, sketch binary").drop("grp")
+    return s.mapInArrow(_merge_partition(len(keys)), kinds).drop("grp")
 
 
 def percentiles(sketches: DataFrame, keys: list[str], fractions: tuple[float, ...] = FRACTIONS) -> DataFrame:

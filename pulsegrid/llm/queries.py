@@ -92,6 +92,12 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(mixing.draw(tokens, calibrated), calibrated)
 
 
+def p8_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens, calibrated = _calibrated(spark, sf_dir)
+    calibrated = checkpoint(calibrated)
+    return mixing.report_marginals(mixing.draw(tokens, calibrated), calibrated)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.found(read(spark, sf_dir, "documents"))
 
@@ -101,7 +107,7 @@ def p9_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_percentiles, p1_counts, p5_found, p7_ids, p8_found, p8_mix, p8_report, p9_found, p9_cues)}
+    return {f.__name__: f for f in (p1_percentiles, p1_counts, p5_found, p7_ids, p8_found, p8_mix, p8_report, p8_marginals, p9_found, p9_cues)}
 
 
 P5_SQL = """

@@ -79,3 +79,24 @@ def test_source_totals_are_exact(filled):
     assert (got["weight"] <= 2).all() and (got["weight"] >= 0).all()
     for s, n in (got["weight"] * got["tokens"]).groupby(got["source"]).sum().items():
         assert n == pytest.approx(min(want[s], 2 * have[s]), rel=1e-9)
+
+
+def test_marginals_as_asked(spark):
+    """Shares of languages that a plan asks for are met by raking where caps allow it, and reported."""
+    cells = spark.createDataFrame([(s, l, t, 1000, 10) for s in "ab" for l in ("en", "de") for t in ("c", "py")], "source string, lang string, topic string, tokens long, docs long")
+    plans = spark.createDataFrame([(1, "A", 1.0, 5, 0.25), (1, " b ", 1.0, 5, 0.25)], "plan_id int, source string, weight double, max_repeats int, size_ratio double")
+    asked = spark.createDataFrame([(1, "lang", "DE", 0.8), (1, "lang", "en", 0.2)], "plan_id int, dimension string, value string, share double")
+    fitted = mixing.calibrate(plans, cells, asked)
+    got = {r.lang: r.s for r in fitted.groupBy("lang").agg(F.sum(F.col("weight") * F.col("tokens")).alias("s")).collect()}
+    assert abs(got["de"] - 1600) < 1 and abs(got["en"] - 400) < 1
+    assert not fitted.where("short").count()
+    short = mixing.calibrate(plans.withColumn("size_ratio", F.lit(6.0)), cells)
+    assert mixing.found(short).count() == 2
+
+
+@pytest.mark.parametrize("text, topic", [
+    (None, "none"), ("message only", "none"), ("m\n\ndiff --git a/x.PY b/x.PY\n+a\ndiff --git a/d/y.c b/d/y.c\n+b\ndiff --git a/z.py b/z.py\n", "py"),
+    ("diff --git a/Makefile b/Makefile\n", "other"), ("x" * 100_000 + "\ndiff --git a/q.rs b/q.rs\n", "rs"),
+])
+def test_topics_come_from_the_whole_text(spark, text, topic):
+    assert spark.createDataFrame([(text,)], "t string").select(mixing.topic_of(F.col("t")).alias("x")).first().x == topic

@@ -63,3 +63,20 @@ def test_tables(spark, monkeypatch, held):
         assert (np.abs(rank - want) <= np.maximum(r.error_bound * np.minimum(want, len(own) - want + 1), 1e-9)).all()
     assert Q.percentiles(Q.sketch(df.where("false"), ["k"]), ["k"]).count() == 0
     assert Q.sketch(df.select(F.lit(1).alias("k"), "value"), ["k"]).count() == 1
+
+
+def test_many_sketches_merge_in_two_steps(spark):
+    """Sketches of many partitions merge in runs, within the bound, and coins differ between partitions."""
+    rng = np.random.default_rng(8)
+    v = rng.lognormal(0, 2, 60_000)
+    df = spark.createDataFrame([("g", float(x)) for x in v], "g string, value double").repartition(60)
+    coins = {Q.Sketch(seed=s).coin >> 60 & 1 for s in range(20)}
+    assert coins == {0, 1}
+    parts = Q.sketch(df.withColumn("part", F.spark_partition_id()), ["g", "part"]).select("g", "sketch")
+    for fan in (7, 1000):
+        got = Q.percentiles(Q.merge(parts, ["g"], fan=fan), ["g"]).collect()
+        assert len(got) == 1 and got[0].n == len(v)
+        s = np.sort(v)
+        for f, x in zip(Q.FRACTIONS, got[0].percentiles):
+            rank = np.searchsorted(s, x, "right")
+            assert abs(rank - np.ceil(f * len(v))) <= Q.relative_error() * min(np.ceil(f * len(v)), len(v) - np.ceil(f * len(v)) + 1) + 1
