@@ -3,7 +3,8 @@
 A field has a name, a number type, option bits (0 no data, 1 min, 2 max, 3 scale, 4 offset) and optional values.
 Encoding divides by the scale after subtracting the offset, rounds halves away from zero and clamps integers to
 their range; decoding multiplies and adds where the bits are set and gives doubles then. min, max and no data are
-stored in the domain of the raw numbers.
+stored in the domain of the raw numbers. Where the bit of no data is set, null is written as that value and read again
+as null; whole numbers are packed without a detour through doubles. Type 0 packs opaque bytes, as many as the options say.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import types as T
 
 from ..sources.formats import EXTRA_CODES, EXTRA_TYPES
 from ..sources.header import fixed
+from ..sources.las import decimal_words, flat_bytes
 
 NO_DATA, MIN, MAX, SCALE, OFFSET = 1, 2, 4, 8, 16
 CODES = {n: k for k, (n, _) in EXTRA_TYPES.items()} | {"single": 9, "double": 10}
@@ -142,6 +144,11 @@ class ExtraBytes:
 
 
 def to_raw(v: np.ndarray, f: ExtraField) -> np.ndarray:
+    kind = np.dtype("<" + EXTRA_CODES[f.data_type])
+    if v.dtype.kind in "iu" and kind.kind in "iu" and not f.scaled:
+        # Whole numbers stay whole, so that 64 bits keep their last digits.
+        limits = np.iinfo(kind)
+        return np.clip(v, max(limits.min, np.iinfo(v.dtype).min), min(limits.max, np.iinfo(v.dtype).max)).astype(kind)
     v = v.astype("f8")
     if f.options & OFFSET:
         v = v - f.offset
@@ -166,19 +173,43 @@ def from_raw(raw: np.ndarray, f: ExtraField) -> np.ndarray:
     return v
 
 
+def _packed(column: pa.Array, f: ExtraField) -> np.ndarray:
+    """A column as the raw values of a field; null is no data where the option is set, else 0."""
+    if not f.data_type:
+        data, lengths = flat_bytes(column)
+        if (lengths != f.size).any():
+            raise ValueError(f"{f.name} needs {f.size} bytes in every row")
+        return data.view(f"V{f.size}")
+    empty = f.no_data if f.options & NO_DATA else 0
+    if pa.types.is_decimal(column.type):
+        low, high = decimal_words(pa.compute.fill_null(column, 0))
+        signed = EXTRA_CODES[f.data_type][0] == "i"
+        if not f.scaled and (high == (low >> np.uint64(63)) * np.uint64(2**64 - 1) if signed else high == 0).all():
+            raw = to_raw(low.view(np.int64) if signed else low, f)
+        else:
+            raw = to_raw(pa.compute.fill_null(column, 0).cast(pa.float64()).to_numpy(zero_copy_only=False), f)
+    elif pa.types.is_integer(column.type):
+        raw = to_raw(pa.compute.fill_null(column, 0).to_numpy(zero_copy_only=False), f)
+    else:
+        raw = to_raw(column.cast(pa.float64()).to_numpy(zero_copy_only=False), f)
+    if column.null_count:
+        raw = np.where(column.is_null().to_numpy(zero_copy_only=False), np.array(empty).astype(raw.dtype), raw)
+    return raw
+
+
 def encode(points: DataFrame, extra: ExtraBytes) -> DataFrame:
     """Appends the columns named like the fields to extradata and drops them."""
     fields, names = extra.fields, extra.names
     others = [c for c in points.columns if c not in names and c != "extradata"]
     source = points.select(*others, F.col("extradata") if "extradata" in points.columns else F.lit(None).cast("binary").alias("extradata"), *names)
     out = T.StructType([source.schema[c] for c in others] + [T.StructField("extradata", T.BinaryType())])
-    record = np.dtype([(f.name, "<" + EXTRA_CODES[f.data_type]) for f in fields])
+    record = np.dtype([(f.name, "<" + EXTRA_CODES[f.data_type]) if f.data_type else (f.name, f"V{f.size}") for f in fields])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = np.zeros(b.num_rows, record)
             for i, f in enumerate(fields):
-                raw[f.name] = to_raw(b.column(len(others) + 1 + i).cast(pa.float64()).to_numpy(zero_copy_only=False), f)
+                raw[f.name] = _packed(b.column(len(others) + 1 + i), f)
             new = pa.Array.from_buffers(pa.binary(record.itemsize), b.num_rows, [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
             old = pa.compute.fill_null(b.column(len(others)), b"")
             joined = pa.compute.binary_join_element_wise(old, new, pa.scalar(b"", pa.binary()))
@@ -187,6 +218,15 @@ def encode(points: DataFrame, extra: ExtraBytes) -> DataFrame:
     return source.mapInArrow(work, out)
 
 
+def _unpacked(raw: np.ndarray, f: ExtraField, kind: pa.DataType) -> pa.Array:
+    """Raw values of a field as a column; no data is null where the option is set."""
+    raw = np.ascontiguousarray(raw)
+    if not f.data_type:
+        return pa.Array.from_buffers(pa.binary(f.size), len(raw), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
+    empty = raw == np.array(f.no_data).astype(raw.dtype) if f.options & NO_DATA else None
+    return pa.array(from_raw(raw, f), mask=empty).cast(kind)
+
+
 def decode(points: DataFrame, extra: ExtraBytes, keep: bool = False) -> DataFrame:
     """Adds a typed column for each field (double where scaled). Rows of another length raise.
 
@@ -205,10 +245,11 @@ def decode(points: DataFrame, extra: ExtraBytes, keep: bool = False) -> DataFram
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = np.frombuffer(b"".join(b.column(len(others)).to_pylist()), record)
-            if len(raw) != b.num_rows:
+            data, lengths = flat_bytes(b.column(len(others)))
+            if (lengths != record.itemsize).any():
                 raise ValueError("extradata has not the length that the fields declare")
-            made = [pa.array([x.tobytes() for x in raw[f.name]], pa.binary()) if not f.data_type else pa.array(np.ascontiguousarray(from_raw(raw[f.name], f))).cast(arrow[type(k)]) for f, k in zip(fields, kinds)]
+            raw = data.view(record)
+            made = [_unpacked(raw[f.name], f, arrow[type(k)]) for f, k in zip(fields, kinds)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], *made], [*others, *[f.name for f in fields]])
 
     return source.mapInArrow(work, out)

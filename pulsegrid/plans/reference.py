@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs as K
 from ..operators import cloud, extrabytes, proximity, records, spatial, stats
-from ..session import checkpoint, read
+from ..session import checkpoint, read, shared_folder
 from ..sources import formats, las
 from ..sources import header as headers
 
@@ -25,7 +25,11 @@ PDRFS = formats.SUPPORTED
 POINTS_SQL = """p0 as (select cast(round(l_extendedprice*100) as bigint) as xi, cast(round(l_quantity*100) as bigint) as yi, cast(round(l_discount*100) as bigint) as zi,
   cast(l_suppkey % 65536 as integer) as intensity, l_linenumber as return_number, cast(l_partkey % 32 as integer) as classification, cast(l_orderkey % 65536 as integer) as point_source_id,
   cast(round(l_tax*100) as integer) as user_data, cast(epoch(l_shipdate) as double) as gps_time,
-  case when l_linestatus = 'O' then 1 else 0 end as scan_dir, case when l_returnflag = 'R' then 1 else 0 end as edge from lineitem),
+  case when l_linestatus = 'O' then 1 else 0 end as scan_dir, case when l_returnflag = 'R' then 1 else 0 end as edge,
+  cast(l_partkey % 181 - 90 as smallint) as scan_angle, cast(l_suppkey % 251 as smallint) as bits2, cast(l_orderkey * 7 % 65536 as integer) as red, cast(l_orderkey * 11 % 65521 as integer) as green,
+  cast(l_partkey * 13 % 65519 as integer) as blue, cast(l_suppkey * 17 % 65497 as integer) as nir, cast(l_linenumber as smallint) as wave_packet_descriptor,
+  cast(l_orderkey * 4294967311 + l_linenumber as decimal(20,0)) as wave_byte_offset, cast(l_partkey * 20011 % 4294967296 as bigint) as wave_packet_size, cast(l_linenumber / 4e0 as float) as wave_return_point,
+  cast((l_orderkey % 1000) / 8e0 as float) as xt, cast(-(l_partkey % 1000) / 8e0 as float) as yt, cast((l_suppkey % 1000) / 16e0 as float) as zt from lineitem),
 points as (select *, xi*1e-2 as x, yi*1e-2 as y, zi*1e-2 as z, return_number | (7 << 3) | (scan_dir << 6) | (edge << 7) as bits from p0)"""
 
 
@@ -36,6 +40,10 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
         (c("l_suppkey") % 65536).cast("int").alias("intensity"), c("l_linenumber").cast("int").alias("return_number"), (c("l_partkey") % 32).cast("int").alias("classification"),
         (c("l_orderkey") % 65536).cast("int").alias("point_source_id"), whole(c("l_tax")).cast("int").alias("user_data"),
         F.unix_timestamp(c("l_shipdate").cast("timestamp")).cast("double").alias("gps_time"), F.when(c("l_linestatus") == "O", 1).otherwise(0).alias("scan_dir"), F.when(c("l_returnflag") == "R", 1).otherwise(0).alias("edge"),
+        (c("l_partkey") % 181 - 90).cast("smallint").alias("scan_angle"), (c("l_suppkey") % 251).cast("smallint").alias("bits2"), (c("l_orderkey") * 7 % 65536).cast("int").alias("red"), (c("l_orderkey") * 11 % 65521).cast("int").alias("green"),
+        (c("l_partkey") * 13 % 65519).cast("int").alias("blue"), (c("l_suppkey") * 17 % 65497).cast("int").alias("nir"), c("l_linenumber").cast("smallint").alias("wave_packet_descriptor"),
+        (c("l_orderkey").cast("long") * lit(4294967311) + c("l_linenumber")).cast("decimal(20,0)").alias("wave_byte_offset"), (c("l_partkey").cast("long") * 20011 % lit(4294967296)).cast("long").alias("wave_packet_size"), (c("l_linenumber") / 4.0).cast("float").alias("wave_return_point"),
+        ((c("l_orderkey") % 1000) / 8.0).cast("float").alias("xt"), (-(c("l_partkey") % 1000) / 8.0).cast("float").alias("yt"), ((c("l_suppkey") % 1000) / 16.0).cast("float").alias("zt"),
     )
     bits = K.encode_fields({"return_number": "return_number", "number_of_returns": lit(7), "scan_direction": "scan_dir", "edge_of_flight_line": "edge"}, K.LEGACY_BITS)
     return p.select("*", *[K.decode_coordinate(f"{a}i", 0.01, 0.0).alias(a) for a in "xyz"], bits.alias("bits"))
@@ -216,14 +224,15 @@ def _(spark, d):
 
 
 def _as_format(p: DataFrame, pdrf: int) -> DataFrame:
-    """The derived points with the columns of a format, zeros where the view has none."""
-    p = p.select(F.lit(0).cast("long").alias("point_index"), "x", "y", "z", "intensity", "bits", "classification", "user_data", "point_source_id", "gps_time")
+    """The derived points with the columns of a format, all of them filled."""
+    p = p.select(F.lit(0).cast("long").alias("point_index"), *[n for n, _, _ in formats.layout(pdrf)])
     return cloud.convert_format(p, pdrf)
 
 
 @query("format_upcast", on_points("select x, cast(intensity as integer) as intensity, cast(classification as smallint) as classification, cast(0 as smallint) as bits2, gps_time, cast(0 as integer) as red, cast(0 as integer) as nir from points"))
 def _(spark, d):
-    return _as_format(points(spark, d), 8).select("x", "intensity", "classification", "bits2", "gps_time", "red", "nir")
+    """Points of format 1 as those of format 8: fields that they lack are zero."""
+    return cloud.convert_format(_as_format(points(spark, d), 1), 8).select("x", "intensity", "classification", "bits2", "gps_time", "red", "nir")
 
 
 # Header rules -----------------------------------------------------------------------------------------------------
@@ -258,11 +267,11 @@ def _(spark, d):
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
     """Each document as a record of its own file, repeated so that some pass the limit of a plain record."""
-    text = F.regexp_replace(F.regexp_replace(F.coalesce("text", lit("")), r"[^\x00-\x7f]", "?"), "\r", "")
+    text = F.regexp_replace(F.regexp_replace(F.coalesce("text", lit("")), r"[^\x00-\xff]", "?"), "\r", "")
     return read(spark, d, "documents").select(c("doc_id").alias("file_id"), F.encode(F.repeat(text, 5), "ISO-8859-1").alias("data"))
 
 
-_DOC_SQL = "docs as (select doc_id as file_id, length(repeat(replace(regexp_replace(coalesce(text, ''), '[^\\x00-\\x7f]', '?', 'g'), chr(13), ''), 5)) as n from documents)"
+_DOC_SQL = "docs as (select doc_id as file_id, length(repeat(replace(regexp_replace(coalesce(text, ''), '[^\\x00-\\x{ff}]', '?', 'g'), chr(13), ''), 5)) as n from documents)"
 
 
 @query("text_payload_len", f"with {_DOC_SQL} select file_id, n as payload_length from docs")
@@ -336,9 +345,9 @@ def _(spark, d):
     return extrabytes.decode(_packed(spark, d, "single"), _normal_fields("single")).select("vec_id", "vX", "vY", "vZ")
 
 
-@query("extrabytes_stats", f"with {_NORMAL_SQL} select " + ", ".join(f"min(v{a}) as min_v{a}, max(v{a}) as max_v{a}" for a in "XYZ") + " from n")
+@query("extrabytes_stats", f"with {_NORMAL_SQL}, r as (select vec_id, {_RAW16} from n) select " + ", ".join(f"min(cast(r{a} as double) * (1e0/32767e0)) as min_v{a}, max(cast(r{a} as double) * (1e0/32767e0)) as max_v{a}" for a in "XYZ") + " from r")
 def _(spark, d):
-    return extrabytes.field_ranges(_normals(spark, d), ["vX", "vY", "vZ"])
+    return extrabytes.field_ranges(extrabytes.decode(_packed(spark, d, "int16"), _normal_fields("int16")), ["vX", "vY", "vZ"])
 
 
 @query("max_deviation", f"with {_NORMAL_SQL}, r as (select *, {_RAW16} from n) select max(greatest(" + ", ".join(f"abs(v{a} - cast(r{a} as double) * (1e0/32767e0))" for a in "XYZ") + ")) as deviation from r")
@@ -483,8 +492,11 @@ def _(spark, d):
 
 def _folder(spark: SparkSession) -> str:
     """A folder that all executors share: the checkpoint folder, or in tests one of this machine."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return tempfile.mkdtemp(prefix="las", dir=base.removeprefix("file://") if base else None)
+    base = las.local(shared_folder(spark).replace("file:///", "file:/"))
+    if "://" in base:
+        raise ValueError("files are written to mounted folders only")
+    os.makedirs(base, exist_ok=True)
+    return tempfile.mkdtemp(prefix="las", dir=base)
 
 
 def _written(spark: SparkSession, d: str, pdrf: int) -> str:
@@ -492,14 +504,12 @@ def _written(spark: SparkSession, d: str, pdrf: int) -> str:
     p = _as_format(points(spark, d), pdrf).withColumn("point_index", F.monotonically_increasing_id())
     text = "Area of the test points"
     start = cloud.PointCloud(p, headers.default(pdrf) | {f"scale_factor_{a}": 0.01 for a in "xyz"}, cloud.no_records(spark))
-    cloud.write_cloud(cloud.add_text_area(start, text), path, pdrf, partitions=8)
+    cloud.write_cloud(cloud.add_text_area(start, text), path, pdrf, ordered=True)  # ids follow the order of rows
     return path
 
 
 def _roundtrip_sql(pdrf: int) -> str:
-    have = {"x": "x", "y": "y", "z": "z", "intensity": "intensity", "bits": "cast(bits as smallint)", "classification": "cast(classification as smallint)", "user_data": "cast(user_data as smallint)", "point_source_id": "point_source_id", "gps_time": "gps_time"}
-    kinds = {"smallint": "smallint", "int": "integer", "bigint": "bigint", "float": "float", "double": "double", "decimal(20,0)": "decimal(20,0)"}
-    columns = [f"{have.get(n, f'cast(0 as {kinds[t.simpleString()]})')} as {n}" for n, _, t in formats.layout(pdrf)]
+    columns = [f"cast({n} as {'integer' if t.simpleString() == 'int' else t.simpleString()}) as {n}" for n, _, t in formats.layout(pdrf)]
     return on_points(f"select {', '.join(columns)} from points")
 
 
@@ -517,10 +527,13 @@ def _(spark, d):
     return _read_back(spark, d, 7, columns="x,y,z,intensity").drop("point_index")
 
 
-@query("las_header", on_points("select cast(3 as smallint) as point_data_format, 34 as point_data_record_length, cast(count(*) as decimal(20,0)) as number_of_point_records, cast(1 as bigint) as number_of_variable_records, min(x) as min_x, max(x) as max_x, min(y) as min_y, max(y) as max_y, min(z) as min_z, max(z) as max_z from points"))
+@query("las_header", on_points("select cast(3 as smallint) as point_data_format, 34 as point_data_record_length, cast(count(*) as decimal(20,0)) as number_of_point_records, cast(1 as bigint) as number_of_variable_records, min(x) as min_x, max(x) as max_x, min(y) as min_y, max(y) as max_y, min(z) as min_z, max(z) as max_z, 3 as version_minor, 235 as header_size, cast(312 as bigint) as offset_to_point_data, 1e-2 as scale_factor_x, 1e-2 as scale_factor_z, 0e0 as y_offset from points"))
 def _(spark, d):
     h = _read_back(spark, d, 3, part="header")
-    return h.select("point_data_format", "point_data_record_length", "number_of_point_records", "number_of_variable_records", "min_x", "max_x", "min_y", "max_y", "min_z", "max_z")
+    return h.select(
+        "point_data_format", "point_data_record_length", "number_of_point_records", "number_of_variable_records", "min_x", "max_x", "min_y", "max_y", "min_z", "max_z", c("version_minor").cast("int").alias("version_minor"),
+        c("header_size").cast("int").alias("header_size"), c("offset_to_point_data").cast("long").alias("offset_to_point_data"), "scale_factor_x", "scale_factor_z", "y_offset",
+    )
 
 
 @query("las_vlr", "select false as is_extended, 0 as idx, 'LASF_Spec' as user_id, 3 as record_id, cast(23 as bigint) as record_length, 'Text Area Description' as description, 'Area of the test points' as data_as_text")
@@ -538,10 +551,62 @@ def _(spark, d):
     return p.agg(F.count(lit(1)).alias("points"), F.sum(F.round(c("x") * 100).cast("long")).alias("sum_x"))
 
 
-@query("las_equal", "select true as equal")
+@query("las_equal", on_points(", q as (select *, case when classification = 3 then intensity + 1 else intensity end as other from points), a as (select x, y, z, intensity, bits, point_source_id from q), b as (select x, y, z, other, bits, point_source_id from q) select (select count(*) from (select * from a except all select * from b)) > 0 as differs, (select count(*) from points) as points, true as equal"))
+def _(spark, d):
+    """A cloud read back equals what was written, and doesn't equal one with other intensities in a class."""
+    p = _as_format(points(spark, d), 3).drop("point_index").where("intensity < 65535")
+    back = _read_back(spark, d, 3)
+    other = p.withColumn("intensity", F.when(c("classification") == 3, c("intensity") + 1).otherwise(c("intensity")))
+    return spark.createDataFrame([(not cloud.same(other, back, ignore=("point_index",)), back.count(), cloud.same(p, back, ignore=("point_index",)))], "differs boolean, points long, equal boolean")
+
+
+WKT_SQL = "repeat('é', 70000)"
+
+
+def _with_wkt(spark: SparkSession, d: str) -> str:
+    path = os.path.join(_folder(spark), "wkt.las")
+    p = _as_format(points(spark, d), 6).withColumn("point_index", F.monotonically_increasing_id())
+    start = cloud.PointCloud(p, headers.default(6) | {f"scale_factor_{a}": 0.01 for a in "xyz"}, cloud.no_records(spark))
+    cloud.write_cloud(cloud.add_wkt(cloud.add_text_area(start, "naïve Größe"), "é" * 70_000), path, 6, ordered=True)
+    return path
+
+
+@query("las_evlr", f"select false as is_extended, 0 as idx, 'LASF_Spec' as user_id, 3 as record_id, cast(11 as bigint) as record_length, 'naïve Größe' as data_as_text union all select true, 0, 'LASF_Projection', 2112, 70000, {WKT_SQL}")
+def _(spark, d):
+    las.register(spark)
+    return spark.read.format("las").option("part", "vlr").load(_with_wkt(spark, d)).select("is_extended", "idx", "user_id", "record_id", "record_length", "data_as_text")
+
+
+@query("las_wkt", on_points("select 16 as global_encoding, 440 as offset_to_point_data, cast(1 as bigint) as number_of_extended_variable_length_record, cast(440 + 30 * count(*) as decimal(20,0)) as start_of_extended_variable_length_record, cast(0 as bigint) as legacy_number_of_point_records from points"))
+def _(spark, d):
+    las.register(spark)
+    h = spark.read.format("las").option("part", "header").load(_with_wkt(spark, d))
+    return h.select(c("global_encoding").cast("int").alias("global_encoding"), c("offset_to_point_data").cast("int").alias("offset_to_point_data"), "number_of_extended_variable_length_record", "start_of_extended_variable_length_record", "legacy_number_of_point_records")
+
+
+for _k, _mask, _bins in ((3, 7, 5), (8, 15, 15)):
+    query(f"las_by_return_pdrf{_k}", on_points(f"select cast(r.range as integer) as return_number, cast(count(p.bits) as bigint) as points from range(1, {_bins + 1}) r left join points p on (p.bits & {_mask}) = r.range group by 1"))(
+        lambda s, d, k=_k: _read_back(s, d, k, part="header").select(F.posexplode("number_of_points_by_return").alias("at", "n")).select((c("at") + 1).cast("int").alias("return_number"), c("n").cast("long").alias("points"))
+    )
+
+
+def _extra_cloud(spark: SparkSession, d: str) -> cloud.PointCloud:
+    """Normals packed into the extra bytes of points, written and read again."""
+    n = _normals(spark, d)
+    p = n.select(c("vec_id").cast("long").alias("point_index"), *[c(f"v{a}").alias(a.lower()) for a in "XYZ"], *[lit(0).cast(t).alias(m) for m, _, t in formats.layout(1)[3:]], "vX", "vY", "vZ")
+    fields = _normal_fields("int16").set_description(["vX", "vY", "vZ"], "surface normal")
+    packed = cloud.encode_extrabytes(cloud.PointCloud(p, headers.default(1), cloud.no_records(spark)), fields)
+    return cloud.write_cloud(packed, os.path.join(_folder(spark), "normals.las"), 1)
+
+
+@query("las_extrabytes", f"with {_NORMAL_SQL}, r as (select vec_id, {_RAW16} from n) select cast(row_number() over (order by vec_id) - 1 as bigint) as point_index, " + ", ".join(f"cast(r{a} as double) * (1e0/32767e0) as v{a}" for a in "XYZ") + " from r")
+def _(spark, d):
+    return cloud.decode_extrabytes(_extra_cloud(spark, d)).select("point_index", "vX", "vY", "vZ")
+
+
+@query("las_extra_fields", "select 'v' || a as name, 'surface normal' as description, 'int16' as data_type, 8 as options, 1e0 / 32767e0 as scale, 0e0 as \"offset\" from (values ('X'), ('Y'), ('Z')) t(a)")
 def _(spark, d):
-    p = _as_format(points(spark, d), 3).drop("point_index")
-    return spark.createDataFrame([(cloud.same(p, _read_back(spark, d, 3), ignore=("point_index",)),)], "equal boolean")
+    return cloud.extra_fields(_extra_cloud(spark, d)).descriptors(spark).select("name", "description", "data_type", "options", "scale", "offset")
 
 
 @query("new_point_cloud", "select cast(0 as bigint) as points, 12 as columns")
@@ -558,7 +623,7 @@ def _(spark, d):
 @query("random_cloud", "select cast(1000 as bigint) as points, true as within")
 def _(spark, d):
     p = cloud.random_cloud(spark, 1000, 10, seed=5).points
-    ok = c("x").between(0, 1) & c("intensity").between(0, 65535) & c("bits").between(0, 255) & c("scan_angle").between(-10000, 10000) & c("wave_packet_size").between(0, 2**32 - 1)
+    ok = c("x").between(0, 1) & c("intensity").between(0, 65535) & c("bits").between(0, 255) & c("scan_angle").between(-32768, 32767) & c("wave_packet_size").between(0, 2**32 - 1)
     return p.agg(F.count(lit(1)).alias("points"), F.bool_and(ok).alias("within"))
 
 

@@ -218,3 +218,15 @@ def test_stream_reads_each_file_once(spark, tmp_path, log):
     run(30)
     C.write_cloud(C.random_cloud(spark, 50, 1), str(src / "aa.las"))
     run(110)
+
+
+def test_extra_bytes_keep_whole_numbers(spark):
+    """64-bit numbers keep their last digits, null is no data, opaque bytes come back."""
+    from decimal import Decimal
+
+    eb = X.ExtraBytes([X.ExtraField("s", 8), X.ExtraField("u", 7), X.ExtraField("b", 0, 3), X.ExtraField("n", 4, X.NO_DATA, no_data=-999)])
+    big = 2**53 + 1
+    rows = [(1, -big, Decimal(2**64 - 1), bytearray(b"abc"), 5), (2, big, Decimal(big), bytearray(b"\0\1\2"), None)]
+    p = spark.createDataFrame(rows, "id int, s long, u decimal(20,0), b binary, n int")
+    got = X.decode(X.encode(p, eb), eb).orderBy("id").collect()
+    assert [(r.id, r.s, r.u, bytes(r.b), r.n) for r in got] == [(i, s, u, bytes(b), n) for i, s, u, b, n in rows]
