@@ -2,9 +2,13 @@
 
 A bounded sample (SAMPLE vectors) fits the splits of a few trees; every vector is then put into one leaf of each
 tree. A query descends all trees through one shared priority queue: the branch with the smallest margin, of
-whichever tree, is followed next, until VISITS leaves are found. Queries meet the members of their leaves in a
-shuffle by leaf, and exact distances rank the candidates. Where a leaf holds more than LOCAL members (the sample is
-bounded, the data are not) a forest of its own is fitted to them and searched in the same way.
+whichever tree, is followed next, until enough leaves are found. How many that are is an argument, or told by the
+sample: the fewest with which the given share of its own nearest vectors is met. Queries meet the members of their
+leaves in a shuffle by leaf, and exact distances rank all of them. The sample is bounded, the data are not: a leaf with
+more than CROWDED members is split once more by a tree of its own, fitted to a bounded sample of its members, along
+which its rows are streamed, and so on until no leaf is crowded, so no task holds more than a leaf.
+
+exact=True compares queries with all vectors, in blocks of queries; recall() measures the share of true neighbours.
 
 Exact copies are one vector to the search, so no leaf fills with them: a vector keeps the k + 1 smallest ids, which
 are all that other vectors can need; further copies have the k smallest of them as their neighbours.
@@ -15,6 +19,7 @@ as are rows without id; repeated rows of one id count once. Fewer than k others
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +30,20 @@ from pyspark.sql import functions as F
 from ..session import checkpoint, fitting
 
 TREES = 4
+#: Leaves that a query visits at least.
 VISITS = 8
 LEAF = 512
-LOCAL = 4096
+#: Members of a leaf over which it is split once more.
+CROWDED = 4096
 SAMPLE = 65_536
+#: Members of a crowded leaf that its own tree is fitted to, at most.
+LEAF_SAMPLE = 16_384
+#: Share of a query's nearest vectors in the sample that the leaves visited must hold, and the queries it is told by.
+TARGET, PROBES = 0.97, 256
+#: Leaves that a query visits at least in each crowded leaf it comes to, and how often leaves are split at most.
+SPLIT_VISITS, LEVELS = 4, 6
+#: Queries that are compared with all vectors at once.
+BLOCK = 8192
 #: A leaf of the fitted forest holds at least so many vectors of the sample.
 LEAST_SAMPLE = 48
 
@@ -180,31 +195,6 @@ def combine(dist: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return np.take_along_axis(dist, o, 1), np.take_along_axis(near, o, 1)
 
 
-def nearest_of(q: np.ndarray, q_ids: np.ndarray, m: np.ndarray, m_ids: np.ndarray, k: int, local: int = LOCAL) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest members of each query: all are ranked, or those of the leaves of a local forest."""
-    if len(m) <= local:
-        return rank(q, q_ids, m, m_ids, k)
-    forest = fit_forest(m, LEAF, TREES, seed=len(m))
-    homes = home_leaves(forest, m)
-    trees, leaves = search_leaves(forest, q, VISITS)
-    dist, near = np.full((len(q), VISITS * k), np.inf), np.full((len(q), VISITS * k), -1, np.int64)
-    for t, tree in enumerate(forest):
-        order = np.argsort(homes[:, t], kind="stable")
-        bounds = np.searchsorted(homes[order, t], np.arange(tree.leaves + 1))
-        rows, cols = np.nonzero(trees == t)
-        by = np.argsort(leaves[rows, cols], kind="stable")
-        rows, cols = rows[by], cols[by]
-        cut = np.searchsorted(leaves[rows, cols], np.arange(tree.leaves + 1))
-        for leaf in range(tree.leaves):
-            r, c = rows[cut[leaf] : cut[leaf + 1]], cols[cut[leaf] : cut[leaf + 1]]
-            if len(r):
-                own = order[bounds[leaf] : bounds[leaf + 1]]
-                d, i = rank(q[r], q_ids[r], m[own], m_ids[own], k)
-                dist[r[:, None], c[:, None] * k + np.arange(k)] = d
-                near[r[:, None], c[:, None] * k + np.arange(k)] = i
-    return combine(dist, near, k)
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten().to_numpy(zero_copy_only=False)
@@ -214,8 +204,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _router(forest: list[Tree], visits: int):
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, 4096):
-                batch = big.slice(at, 4096)
+            step = max(64, 32_768 // visits)
+            for at in range(0, big.num_rows, step):
+                batch = big.slice(at, step)
                 v = _matrix(batch.column(1))
                 homes = home_leaves(forest, v)
                 trees, leaves = search_leaves(forest, v, visits)
@@ -235,46 +226,186 @@ def _router(forest: list[Tree], visits: int):
     return route
 
 
+def visits_for(sample: np.ndarray, forest: list[Tree], k: int, target: float = TARGET) -> int:
+    """The fewest leaves (doubling) that hold the target share of the k nearest vectors of some of the sample."""
+    n = len(sample)
+    every = sum(t.leaves for t in forest)
+    if n <= k or every <= VISITS:
+        return VISITS
+    probes = sample[:: max(1, n // PROBES)][:PROBES]
+    ids = np.arange(n)
+    _, true = rank(probes, ids[:: max(1, n // PROBES)][:PROBES], sample, ids, k)
+    homes = home_leaves(forest, sample)
+    visits = VISITS
+    while visits < every:
+        trees, leaves = search_leaves(forest, probes, visits)
+        # A true neighbour is met where a visited leaf is its home in that tree.
+        met = np.zeros(true.shape, bool)
+        for v in range(visits):
+            ok = trees[:, v] >= 0
+            met[ok] |= homes[true[ok], trees[ok, v][:, None]] == leaves[ok, v][:, None]
+        if met[true >= 0].mean() >= target:
+            break
+        visits *= 2
+    return min(visits, every)
+
+
+def _runs(leaf: np.ndarray) -> np.ndarray:
+    return np.r_[0, np.flatnonzero(leaf[1:] != leaf[:-1]) + 1, len(leaf)]
+
+
 def _searcher(k: int):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+    """Ranks the members of a leaf for its queries; rows come sorted by leaf, one leaf is held at a time."""
 
-        def answer(t: pa.Table) -> pa.RecordBatch:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def answer(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(parts)
             v, ids, asks = _matrix(t.column("vec")), t.column("id").to_numpy(), t.column("asks").to_numpy()
-            d, i = nearest_of(v[asks], ids[asks], v[~asks], ids[~asks], k)
+            d, i = rank(v[asks], ids[asks], v[~asks], ids[~asks], k)
             n = len(d)
             row, col = np.nonzero(i >= 0)
-            count = np.bincount(row, minlength=n)
-            offsets = pa.array(np.r_[0, np.cumsum(count)].astype(np.int32))
+            offsets = pa.array(np.r_[0, np.cumsum(np.bincount(row, minlength=n))].astype(np.int32))
             pairs = pa.StructArray.from_arrays([pa.array(d[row, col]), pa.array(i[row, col])], ["d", "id"])
             return pa.RecordBatch.from_arrays([pa.array(ids[asks]), pa.ListArray.from_arrays(offsets, pairs)], ["id", "near"])
 
+        held: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t])
-            leaf = held.column("leaf").to_numpy()
-            cuts = np.r_[0, np.flatnonzero(leaf[1:] != leaf[:-1]) + 1]
+            if not batch.num_rows:
+                continue
+            leaf = batch.column(0).to_numpy()
+            cuts = _runs(leaf)
             for a, b in zip(cuts[:-1], cuts[1:]):
-                yield answer(held.slice(a, b - a))
-            held = held.slice(cuts[-1])
-        if held is not None and held.num_rows:
+                if held and leaf[a] != last:
+                    yield answer(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = leaf[a]
+        if held:
             yield answer(held)
 
     return search
 
 
+def _members(forest: list[Tree]):
+    """leaf and n: how many vectors of a batch have their home there."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                homes = home_leaves(forest, _matrix(batch.column(0))) + np.arange(len(forest)) * 2**40
+                leaf, n = np.unique(homes, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(n)], ["leaf", "n"])
+
+    return count
+
+
+def _fit_leaf(rows):
+    """The tree of one crowded leaf, from the sample of its members."""
+    import pandas as pd
+
+    v = np.stack(rows["vec"].to_numpy())[: 2 * LEAF_SAMPLE]
+    size = max(LEAST_SAMPLE, int(LEAF * len(v) / max(1, rows["n"].iloc[0])))
+    t = fit_tree(v, size, np.random.default_rng(int(rows["leaf"].iloc[0]) % 2**32))
+    return pd.DataFrame({"leaf": rows["leaf"].iloc[:1].to_numpy(), "tree": [pickle.dumps(t)]})
+
+
+def _split_leaves(share: float):
+    """Streams the rows of crowded leaves along their trees; a leaf's tree comes before its rows. Queries visit a share
+    of its leaves, SPLIT_VISITS at least."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = None
+        for big in batches:
+            cuts = _runs(big.column(0).to_numpy())
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                part = big.slice(a, b - a)
+                packed = part.column(4)
+                if packed[0].is_valid:
+                    tree = pickle.loads(packed[0].as_py())
+                    part = part.slice(1)
+                if not part.num_rows:
+                    continue
+                v, asks = _matrix(part.column(3)), part.column(1).to_numpy(zero_copy_only=False)
+                rows, leaves = [np.flatnonzero(~asks)], [home_leaves([tree], v[~asks])[:, 0]]
+                if asks.any():
+                    _, found = search_leaves([tree], v[asks], min(max(SPLIT_VISITS, int(share * tree.leaves) + 1), tree.leaves))
+                    at, col = np.nonzero(found >= 0)
+                    rows.append(np.flatnonzero(asks)[at])
+                    leaves.append(found[at, col])
+                row, leaf = np.concatenate(rows), np.concatenate(leaves).astype(np.uint64)
+                key = part.column(0).to_numpy()[row].view(np.uint64)
+                key = (key ^ (leaf + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+                key ^= key >> np.uint64(31)
+                pick = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *[part.column(c).take(pick) for c in (1, 2, 3)]], ["leaf", "asks", "id", "vec"])
+
+    return work
+
+
+ROUTED = "leaf long, asks boolean, id long, vec array<double>"
+
+
+def _uncrowded(routed: DataFrame, crowded: DataFrame, share: float) -> DataFrame:
+    """routed with the rows of crowded leaves (leaf, n) put into leaves of their own trees."""
+    crowded = F.broadcast(crowded)  # leaves of trees of bounded samples, counted to be few
+    taken = F.least(F.lit(1.0), LEAF_SAMPLE / F.col("n"))
+    sample = routed.where("not asks").join(crowded, "leaf").where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < taken * 1_000_000)
+    trees = sample.select("leaf", "n", "vec").groupBy("leaf").applyInPandas(_fit_leaf, "leaf long, tree binary")
+    rows = routed.join(crowded.select("leaf"), "leaf", "left_semi").select("leaf", "asks", "id", "vec", F.lit(None).cast("binary").alias("tree"))
+    heads = trees.select("leaf", F.lit(False).alias("asks"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("vec"), "tree")
+    both = rows.unionByName(heads).repartition("leaf").sortWithinPartitions("leaf", F.col("tree").isNull())
+    return routed.join(crowded.select("leaf"), "leaf", "left_anti").select("leaf", "asks", "id", "vec").unionByName(both.mapInArrow(_split_leaves(share), ROUTED))
+
+
 def vectors_of(points: DataFrame, ident: str, vector: str) -> DataFrame:
     """(id, vec) with whole finite vectors; repeated rows of one id count once."""
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return points.select(F.col(ident).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec")).where("id is not null and vec is not null and size(vec) > 0").where(~bad).dropDuplicates(["id"])
 
 
-def nearest(points: DataFrame, k: int = 4, ident: str = "id", vector: str = "vec", every: int | None = None) -> DataFrame:
-    """(id, neighbour, distance) of the k nearest others of every vector, or of the queries id % every = 0."""
+def _all_pairs(queries: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """id and near: the k nearest members of every query, by comparing blocks of queries with all of them."""
+    blocks = max(1, -(-queries.count() // BLOCK))
+    queries = checkpoint(queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))))
+    out = None
+    for i in range(blocks):
+        block = queries.where(F.col("block") == i).select("id", "vec").toArrow()  # about BLOCK vectors
+        if not block.num_rows:
+            continue
+        sent = queries.sparkSession.sparkContext.broadcast((block.column("id").to_numpy(), _matrix(block.column("vec"))))
+
+        def compare(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, q = sent.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                d, i = rank(q, ids, _matrix(batch.column(1)), batch.column(0).to_numpy(), k)
+                row, col = np.nonzero(i >= 0)
+                offsets = pa.array(np.r_[0, np.cumsum(np.bincount(row, minlength=len(q)))].astype(np.int32))
+                pairs = pa.StructArray.from_arrays([pa.array(d[row, col]), pa.array(i[row, col])], ["d", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(offsets, pairs)], ["id", "near"])
+
+        part = members.select("id", "vec").mapInArrow(compare, "id long, near array<struct<d:double,id:long>>")
+        out = part if out is None else out.unionByName(part)
+    return members.where("false").select("id", F.lit(None).cast("array<struct<d:double,id:long>>").alias("near")) if out is None else out
+
+
+def nearest(
+    points: DataFrame, k: int = 4, ident: str = "id", vector: str = "vec", every: int | None = None, trees: int = TREES, visits: int | None = None, target: float = TARGET, exact: bool = False
+) -> DataFrame:
+    """(id, neighbour, distance) of the k nearest others of every vector, or of the queries id % every = 0.
+
+    trees, visits: of the forest and of each query in it; without visits as many leaves as meet the share target of the
+    nearest vectors within the sample, which differs by dimension. exact: all vectors are compared.
+    """
     p = checkpoint(vectors_of(points, ident, vector))
     first = p.withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("r") <= k + 1)
     reps = first.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     reps = checkpoint(reps.select(F.col("ids")[0].alias("id"), "vec", "ids"))
+    if exact:
+        wanted = reps.where(F.exists("ids", lambda i: i % every == 0)) if every else reps
+        return _by_id(p, reps, _all_pairs(wanted.select("id", "vec"), reps, k), k, every)
     n = reps.count()
     share = min(1.0, SAMPLE / max(1, n))
     sample = reps.where(F.pmod(F.xxhash64("vec", F.lit(1)), F.lit(1_000_000)) < share * 1_000_000).select("vec").limit(SAMPLE * 2).toArrow()
@@ -282,11 +413,25 @@ def nearest(points: DataFrame, k: int = 4, ident: str = "id", vector: str = "vec
     if not len(v):
         v = np.zeros((1, 1))
     leaf = max(LEAST_SAMPLE, int(LEAF * len(v) / max(1, n)))
-    forest = fit_forest(v, leaf)
+    forest = fit_forest(v, leaf, trees)
+    visits = visits or visits_for(v, forest, k, target)
     asking = [F.exists("ids", lambda i: i % every == 0).alias("wanted")] if every else []
-    routed = reps.select("id", "vec", *asking).mapInArrow(_router(forest, VISITS), "leaf long, asks boolean, id long, vec array<double>")
+    routed = reps.select("id", "vec", *asking).mapInArrow(_router(forest, visits), ROUTED)
+    members = reps.select("vec").mapInArrow(_members(forest), "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n"))
+    crowded = checkpoint(members.where(F.col("n") > CROWDED))
+    for _ in range(LEVELS):
+        if crowded.isEmpty():
+            break
+        # One tree takes twice the share of leaves that a forest does.
+        routed = checkpoint(_uncrowded(routed, crowded, 2 * visits / sum(t.leaves for t in forest)))
+        crowded = checkpoint(routed.where("not asks").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED))
     routed = routed.repartition("leaf").sortWithinPartitions("leaf")
     found = routed.mapInArrow(_searcher(k), "id long, near array<struct<d:double,id:long>>")
+    return _by_id(p, reps, found, k, every)
+
+
+def _by_id(p: DataFrame, reps: DataFrame, found: DataFrame, k: int, every: int | None) -> DataFrame:
+    """From what was found for distinct vectors to the neighbours of every id."""
     best = found.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
     # From vectors back to ids: the copies of a vector itself come first.
     own = reps.select("id", "ids")
@@ -306,3 +451,10 @@ def nearest(points: DataFrame, k: int = 4, ident: str = "id", vector: str = "vec
 def pairs(found: DataFrame) -> DataFrame:
     """(id_a, id_b), smaller first, of which one is a neighbour of the other."""
     return found.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
+def recall(found: DataFrame, points: DataFrame, k: int = 4, ident: str = "id", vector: str = "vec", every: int = 50) -> float:
+    """The share of the true neighbours of the queries id % every = 0 that found (from nearest) holds."""
+    true = nearest(points, k, ident, vector, every, exact=True).select("id", "neighbour")
+    total = true.count()
+    return true.join(found.select("id", "neighbour"), ["id", "neighbour"], "left_semi").count() / total if total else 1.0

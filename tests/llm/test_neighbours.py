@@ -23,14 +23,28 @@ def found(df, k, **o):
     return out
 
 
-def test_local_search_recall():
-    rng = np.random.default_rng(0)
-    for dims in (3, 12):
-        v = rng.normal(size=(9000, dims)) @ rng.normal(size=(dims, dims))
-        ids = np.arange(9000)
-        _, near = N.nearest_of(v[:300], ids[:300], v, ids, 5)
-        _, want = N.rank(v[:300], ids[:300], v, ids, 5)
-        assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(near, want)]) > 0.9
+@pytest.mark.parametrize("dims", [3, 16, 64])
+@pytest.mark.parametrize("crowded", [4096, 150])
+def test_recall_by_dimension(spark, monkeypatch, dims, crowded):
+    """Against brute force on id % 50 = 0, with and without leaves that are split once more."""
+    monkeypatch.setattr(N, "LEAF", 64)
+    monkeypatch.setattr(N, "SAMPLE", 1500)
+    monkeypatch.setattr(N, "CROWDED", crowded)
+    rng = np.random.default_rng(dims)
+    v = rng.normal(size=(5000, dims)) @ rng.normal(size=(dims, dims))
+    df = table(spark, np.arange(5000), v)
+    assert N.recall(N.nearest(df, 4, every=50), df, 4) >= 0.9
+
+
+def test_exact(spark, monkeypatch):
+    """All vectors in blocks of queries give the true neighbours."""
+    monkeypatch.setattr(N, "BLOCK", 50)
+    rng = np.random.default_rng(5)
+    v = rng.integers(0, 5, (300, 3)).astype(float)
+    ids = rng.permutation(900)[:300]
+    df = table(spark, ids, v)
+    assert found(df, 4, exact=True) == brute(ids.tolist(), v, 4)
+    assert N.nearest(df.where("false"), 4, exact=True).count() == 0
 
 
 def test_rank_breaks_ties_by_id():
