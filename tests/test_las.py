@@ -230,3 +230,31 @@ def test_extra_bytes_keep_whole_numbers(spark):
     p = spark.createDataFrame(rows, "id int, s long, u decimal(20,0), b binary, n int")
     got = X.decode(X.encode(p, eb), eb).orderBy("id").collect()
     assert [(r.id, r.s, r.u, bytes(r.b), r.n) for r in got] == [(i, s, u, bytes(b), n) for i, s, u, b, n in rows]
+
+
+def test_load_finds_the_schema_of_mixed_files(spark, tmp_path):
+    """The schema comes from a Spark job over headers; small files share a task, large ones are cut by their size."""
+    src = tmp_path / "mixed"
+    src.mkdir()
+    for k in (0, 3, 6):
+        C.write_cloud(C.random_cloud(spark, 500, k), str(src / f"f{k}.las"))
+    got, want = las.load(spark, str(src)), spark.read.format("las").load(str(src))
+    assert got.columns == want.columns and {"red", "bits2", "gps_time"} <= set(got.columns)
+    assert got.count() == 1500 and got.where("red is not null").count() == 500
+    files = las.sized_files(str(src))
+    assert len(las.slices(files, 2**30)) == 1
+    cut = las.slices(files, 4096)
+    assert sum(len(s.pieces) for s in cut) == sum(-(-n // 4096) for _, n in files)
+    many = spark.read.format("las").option("split_bytes", "4096").load(str(src))
+    assert many.rdd.getNumPartitions() == len(cut)
+    assert many.groupBy("file_name", "point_index").count().where("count > 1").isEmpty() and many.count() == 1500
+    assert las.load(spark, str(src), columns="x,intensity").columns == ["file_name", "point_index", "x", "intensity"]
+
+
+def test_nulls_are_not_written_as_zeros(spark, tmp_path):
+    a = C.random_cloud(spark, 20, 1)
+    a = a.with_points(a.points.withColumn("intensity", F.when(F.col("point_index") > 3, F.col("intensity"))))
+    with pytest.raises(Exception):
+        C.write_cloud(a, str(tmp_path / "n.las"))
+    got = C.write_cloud(a, str(tmp_path / "n.las"), fill=7).points
+    assert got.where("point_index <= 3 and intensity = 7").count() == 4
