@@ -72,6 +72,11 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"))
 
 
+def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text from its ids again."""
+    return bpe.decode_ids(p7_ids(spark, sf_dir))
+
+
 def _calibrated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     tokens = checkpoint(mixing.document_tokens(read(spark, sf_dir, "documents")))
     return tokens, mixing.calibrate(read(spark, sf_dir, "mix_plan"), mixing.cells_of(tokens))
@@ -107,7 +112,7 @@ def p9_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_percentiles, p1_counts, p5_found, p7_ids, p8_found, p8_mix, p8_report, p8_marginals, p9_found, p9_cues)}
+    return {f.__name__: f for f in (p1_percentiles, p1_counts, p5_found, p7_ids, p7_decoded, p8_found, p8_mix, p8_report, p8_marginals, p9_found, p9_cues)}
 
 
 P5_SQL = """
@@ -120,4 +125,4 @@ select distinct least(id, other) as id_a, greatest(id, other) as id_b from r whe
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_counts": P1_COUNTS_SQL, "p5_found": P5_SQL}
+    return {"p1_counts": P1_COUNTS_SQL, "p5_found": P5_SQL, "p7_decoded": "select doc_id, coalesce(text, '') as text from documents"}
